@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op3_packing
 from .sharding import op4_sharding
+from .tokens import op5_token_counts
 
 QUERIES = {
+    "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
