@@ -6,9 +6,12 @@ the next bytes.  A digit is a run of bytes, longer at each level, so that a text
 of any length is settled after a few levels.  No digest decides equality.
 
 One level is a partially aggregated count of (group, digit) and a join of the rows
-with the groups of two or more.  The counts are written out before that join, so
-that both of its sides are plain exchanges and adaptive execution can split the
-rows of one huge group over many tasks.  Finished rows leave their text behind.
+with the groups of two or more.  A bitmap of fixed size over those groups goes
+before that join: a row whose bit is unset is alone in its group, and leaves its
+text and digit behind instead of taking them through the shuffle.  Set bits prove
+nothing; the join compares the bytes.  The counts are written out first, so that
+both sides of the join are plain exchanges and adaptive execution can split the
+rows of one huge group over many tasks.
 """
 
 from __future__ import annotations
@@ -16,29 +19,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_under, fresh_path, lower_ascii, materialize, table
+from .common import forget, lower_ascii, materialize, table
 
-#: A table of groups is broadcast only while its files are this small.
-BROADCAST_BYTES = 8 << 20
+#: Words of 64 bits in the bitmap: it has so many rows at most, about 8 MB.
+WORDS = 1 << 18
+BIT = "cast(pmod(shiftright(h_, 32), 64) as int)"
+
+
+def _bitmap(groups: DataFrame) -> DataFrame:
+    return (
+        groups.withColumn("h_", F.xxhash64("g_gid", "g_digit", "g_ended"))
+        .groupBy(F.pmod("h_", F.lit(WORDS)).alias("word"))
+        .agg(F.expr(f"bit_or(shiftleft(1L, {BIT}))").alias("bits"))
+    )
 
 
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    first_digit: int = 64,
+    first_digit: int = 512,
     growth: int = 8,
-    carry: bool = False,
 ) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, rid``.
 
     Texts are equal when identical after lower-casing A-Z; a null text is empty.
     The row with the largest id stays; among repeated rows of that id exactly one
-    does, and a null id is the smallest.  Empty tables give no rows.  With
-    ``carry`` a struct ``row`` of all input columns is returned too, whatever
-    they are called; otherwise other columns are ignored.
+    does, and a null id is the smallest.  Empty tables give no rows.  Other columns
+    are ignored.  ``rid`` is the row's ``monotonically_increasing_id`` in ``docs``.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     level = docs.select(
         F.monotonically_increasing_id().alias("rid"),
@@ -46,33 +55,41 @@ def exact_dedup(
         F.lit(0).cast("bigint").alias("gid"),
         text.alias("body"),
         F.sha2(lower_ascii(text), 256).alias("sha"),
-        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []),
     )
-    done, offset, width = [], 0, first_digit
+    done, active, offset, width = [], None, 0, first_digit
     while True:
-        bytes_ = lower_ascii(F.col("body")).cast("binary")
-        rows = level.withColumn("bytes_", bytes_).select(
+        rows = level.withColumn("bytes_", lower_ascii(F.col("body")).cast("binary")).select(
             *level.columns,
             F.substring("bytes_", offset + 1, width).alias("digit"),
             (F.octet_length("bytes_") <= offset + width).alias("ended"),
         )
-        # Rows of one level lie in one group at least as often as not: aggregate narrow keys.
         groups = materialize(
-            rows.groupBy("gid", "digit", "ended")
+            rows.groupBy(
+                F.col("gid").alias("g_gid"),
+                F.col("digit").alias("g_digit"),
+                F.col("ended").alias("g_ended"),
+            )
             .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc", "rid")).alias("top"))
             .where("n > 1"),
             "radix-groups",
         )
-        small = bytes_under(spark, groups) <= BROADCAST_BYTES
-        sides = groups.select(
-            F.col("gid").alias("g_gid"),
-            F.col("digit").alias("g_digit"),
-            F.col("ended").alias("g_ended"),
-            "n",
-            "top",
+        h = F.xxhash64("gid", "digit", "ended")
+        marked = rows.withColumn("h_", h).join(
+            F.broadcast(_bitmap(groups)), F.pmod("h_", F.lit(WORDS)) == F.col("word"), "left"
+        )
+        maybe = F.coalesce(F.expr(f"(shiftright(bits, {BIT}) & 1) = 1"), F.lit(False))
+        # A row that is alone keeps a key of its own, which spreads such rows evenly.
+        sent = marked.select(
+            "rid",
+            "doc",
+            "sha",
+            F.when(maybe, F.col("gid")).otherwise(F.lit(-1)).alias("gid"),
+            F.when(maybe, F.col("digit")).otherwise(F.col("rid").cast("string").cast("binary")).alias("digit"),
+            (maybe & F.col("ended")).alias("ended"),
+            F.when(maybe & ~F.col("ended"), F.col("body")).alias("body"),
         )
-        joined = rows.join(
-            F.broadcast(sides) if small else sides,
+        joined = sent.join(
+            groups,
             (F.col("gid") == F.col("g_gid"))
             & (F.col("digit") == F.col("g_digit"))
             & (F.col("ended") == F.col("g_ended")),
@@ -80,34 +97,35 @@ def exact_dedup(
         )
         single = F.col("n").isNull()
         finished = single | F.col("ended")
-        path = fresh_path(spark, "radix-level")
-        joined.select(
-            "rid",
-            "doc",
-            F.coalesce(F.col("top.rid"), F.lit(-1)).alias("gid"),
-            F.when(~finished, F.col("body")).alias("body"),
-            "sha",
-            *(["row"] if carry else []),
-            finished.alias("finished"),
-            F.when(single, F.col("doc")).otherwise(F.col("top.doc")).alias("keep_id"),
-            F.coalesce("n", F.lit(1)).alias("group_size"),
-            (single | (F.col("top.rid") == F.col("rid"))).alias("kept"),
-        ).write.parquet(path)
-        written = spark.read.parquet(path)
+        settled = materialize(
+            joined.select(
+                "rid",
+                "doc",
+                "sha",
+                F.col("top.rid").alias("gid"),
+                F.when(~finished, F.col("body")).alias("body"),
+                finished.alias("finished"),
+                F.when(single, F.col("doc")).otherwise(F.col("top.doc")).alias("keep_id"),
+                F.coalesce("n", F.lit(1)).alias("group_size"),
+                (single | (F.col("top.rid") == F.col("rid"))).alias("kept"),
+            ),
+            "radix-level",
+        )
+        forget(groups)
         done.append(
-            written.where("finished").select(
+            settled.where("finished").select(
                 F.col("doc").alias("doc_id"),
                 "keep_id",
                 "group_size",
                 "kept",
                 F.col("sha").alias("text_sha256"),
-                *(["row"] if carry else []),
+                "rid",
             )
         )
-        rest = written.where("not finished")
-        if rest.isEmpty():
+        active = settled.where("not finished")
+        if active.isEmpty():
             break
-        level = rest.select("rid", "doc", "gid", "body", "sha", *(["row"] if carry else []))
+        level = active.select("rid", "doc", "gid", "body", "sha")
         offset, width = offset + width, width * growth
     out = done[0]
     for more in done[1:]:
@@ -116,7 +134,7 @@ def exact_dedup(
 
 
 def op6_exact_dedup(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
 
 
 OP6_SQL = """

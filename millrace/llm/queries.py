@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op3_packing
 from .sharding import op4_sharding
+from .simhash import op9_simhash
 from .tokens import op5_token_counts
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLES = {
