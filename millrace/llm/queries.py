@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import OP2_SQL, op2_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op3_packing
 from .sharding import op4_sharding
@@ -9,6 +10,7 @@ from .simhash import op9_simhash
 from .tokens import op5_token_counts
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_decontamination": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
