@@ -8,6 +8,7 @@ from .packing import op3_packing
 from .sharding import op4_sharding
 from .simhash import op9_simhash
 from .tokens import op5_token_counts
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
