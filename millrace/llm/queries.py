@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP2_SQL, op2_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .packing import op3_packing
+from .pii import op8_pii
 from .sharding import op4_sharding
 from .simhash import op9_simhash
 from .tokens import op5_token_counts
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
