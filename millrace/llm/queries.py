@@ -10,6 +10,7 @@ from .sharding import op4_sharding
 from .simhash import op9_simhash
 from .tokens import op5_token_counts
 from .toxicity import op10_toxicity
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_warc": op7_warc,
     "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
@@ -25,4 +27,5 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_warc": OP7_SQL,
 }
