@@ -7,7 +7,6 @@ a parameter of every operator.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ OVERLAP_CHARS = 512
 #: Texts of a batch are encoded in runs of about this many characters.
 RUN_CHARS = 2_000_000
 #: Encoded words that one worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 350_000
 
 _OPEN: dict[str, object] = {}
 
@@ -180,33 +179,65 @@ def count_tokens(
     ).mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable Latin-1 characters stand for themselves; the other bytes take the
+    characters from U+0100 on, in order.
+    """
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in shown)
+    return {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """Ids of texts under a tokenizer that drops white space, word by word.
+    """Ids of texts under a lower-casing tokenizer that drops white space, word by word.
 
     A pre-tokenizer that removes white space never lets a token, an added token or a
     normalisation reach over a blank, so a text's ids are those of its blank-separated
-    words in a row.  Words are remembered; what is new goes to the library in one call.
+    words in a row.  Words are remembered.  A new word of Latin-1 letters is one
+    pre-token, which composition leaves as it is: it goes straight to the model, in
+    lower case.  ASCII symbols after it are a pre-token of their own.  Any other word
+    goes through the whole tokenizer.
     """
 
-    CUT = re.compile("[ \n\r\t]+")
+    SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, name: str, limit: int = MEMO_WORDS):
         self.tok, self.limit, self.memo = open_tokenizer(name), limit, {"": b""}
+        self.letters = _byte_letters()
+
+    def _learn(self, words: set[str]) -> None:
+        memo, model, tailed, other = self.memo, self.tok.model.tokenize, [], set()
+        letters = set()
+        for w in words:
+            head = w.rstrip(self.SYMBOLS)
+            if not head.isalpha() or max(head) > "\xff":
+                other.add(w)
+                continue
+            if len(head) < len(w):
+                tail = w[len(head) :]
+                tailed.append((w, head, tail))
+                if tail not in memo:
+                    other.add(tail)
+            if head not in memo:
+                letters.add(head)
+        for w in letters:
+            low = w.lower()
+            if not low.isascii():
+                low = low.encode().decode("latin-1").translate(self.letters)
+            memo[w] = b"".join([t.id.to_bytes(4, "little") for t in model(low)])
+        other = list(other)
+        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, head, tail in tailed:
+            memo[w] = memo[head] + memo[tail]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.CUT.split(t) for t in texts]
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         memo = self.memo
-        new = list({w for words in cut for w in words if w not in memo})
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            found = self.tok.encode_batch_fast(part, add_special_tokens=False)
-            lists = [e.ids for e in found]
-            flat = np.fromiter((i for ids in lists for i in ids), dtype="<u4").tobytes()
-            at = 0
-            for w, ids in zip(part, lists, strict=True):
-                memo[w] = flat[at : at + 4 * len(ids)]
-                at += 4 * len(ids)
+        self._learn(set().union(*cut).difference(memo))
         get = memo.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
         if len(memo) > self.limit:
