@@ -199,6 +199,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def filter_toxic(
+    docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, all columns as they are."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([model.score(t.as_py() or "") < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     """Train on ``labels`` and score all of ``docs``.
 
