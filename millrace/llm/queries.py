@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP2_SQL, op2_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .licences import op1_licences
 from .packing import op3_packing
 from .pii import op8_pii
 from .sharding import op4_sharding
@@ -13,6 +14,7 @@ from .toxicity import op10_toxicity
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
