@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import pathlib
 import string
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
+__all__ = ["body", "forget", "fresh_path", "lower_ascii", "materialize", "shared_dir", "ship", "table"]
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
@@ -75,18 +77,3 @@ def forget(df: DataFrame) -> None:
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context."""
-    context = spark.sparkContext
-    if getattr(context, "_millrace_shipped", False):
-        return
-    top = pathlib.Path(__file__).resolve().parent.parent
-    if top.is_dir():
-        path = pathlib.Path(tempfile.mkdtemp(prefix="millrace-ship-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-            for file in sorted(top.rglob("*.py")):
-                out.write(file, file.relative_to(top.parent))
-        context.addPyFile(str(path))
-    context._millrace_shipped = True
