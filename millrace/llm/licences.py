@@ -128,6 +128,11 @@ STOP = frozenset(
 )
 
 NONE, UNKNOWN = "none", "unknown"
+TEMPLATE_LIST = [(f, t) for f in sorted(TEMPLATES) for t in TEMPLATES[f]]
+#: Found shingles are counted for each template in bits of a few sums, 10 to a number.
+TALLY_BITS, TALLIES = 6, 10
+#: Stands for the end of a document among its grams; no word holds this character.
+LAST = "\x01"
 #: Documented bound of the sample of prose paragraphs.
 PROSE = 2_000
 #: Word shingles of the template comparison, and the share of them that must be found.
@@ -138,6 +143,11 @@ def grams(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
+def template_shingles(text: str) -> set[str]:
+    words = text.split()
+    return {" ".join(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, 1))}
+
+
 @dataclass
 class Model:
     """``weights[gram]`` has a value for each of ``classes``; so has ``bias``."""
@@ -277,11 +287,19 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     a null id is a value like any other; other columns are ignored.
     """
     spark = docs.sparkSession
-    k = len(model.classes)
-    names = [f"w{i}" for i in range(k)]
-    # Bounded: grams of the training set only.
+    names = [f"w{i}" for i in range(len(model.classes))]
+    shingles = [template_shingles(t) for _, t in TEMPLATE_LIST]
+    tallies = [f"c{i}" for i in range(-(-len(shingles) // TALLIES))]
+    # Bounded: grams of the training set and of the templates only.
+    rows = {g: [*ws, *[0] * len(tallies)] for g, ws in model.weights.items()}
+    for t, found in enumerate(shingles):
+        for g in found:
+            row = rows.setdefault(g, [*[0.0] * len(names), *[0] * len(tallies)])
+            row[len(names) + t // TALLIES] += 1 << (TALLY_BITS * (t % TALLIES))
+    rows[LAST] = [*[0.0] * len(names), *[0] * len(tallies)]
     vocabulary = spark.createDataFrame(
-        [(g, *ws) for g, ws in model.weights.items()], "gram string, " + ", ".join(f"{n} double" for n in names)
+        [(g, *vs) for g, vs in rows.items()],
+        ", ".join(["gram string", *(f"{n} double" for n in names), *(f"{c} bigint" for c in tallies)]),
     )
     anchors = F.array(*[F.lit(a) for a in model.anchors])
     whole = _paragraphs(docs, id_col, text_col).withColumn("n", F.size("paragraphs"))
@@ -290,30 +308,33 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         "rid", "doc_id", "n",
         F.posexplode_outer(F.concat("paragraphs", F.array(F.lit("")))).alias("at", "line"),
     ).withColumn("w", word_array(F.col("line")))
-    # Every gram of the model holds an anchor, so a paragraph without one scores the bias.
+    # Every gram of the model holds an anchor, so a paragraph without one is prose.
     kept = lines.where((F.col("at") == F.col("n")) | F.arrays_overlap("w", anchors))
     pairs = "zip_with(w, slice(w, 2, greatest(size(w) - 1, 0)), (a, b) -> if(b is null, null, concat(a, ' ', b)))"
     grammed = kept.withColumn("w2", F.expr(pairs)).withColumn(
         "w3",
         F.expr("zip_with(w2, slice(w, 3, greatest(size(w) - 2, 0)), (a, b) -> if(b is null, null, concat(a, ' ', b)))"),
     )
-    entries = grammed.select(
-        "rid", "doc_id", "n", "at",
-        F.when(F.col("at") < F.col("n"), F.array_distinct(F.expr("filter(w3, x -> x is not null)"))).alias("shingles"),
-        F.explode_outer(F.array_distinct(F.concat("w", "w2", "w3"))).alias("gram"),
-    )
+    last = F.col("at") == F.col("n")
+    # A paragraph that shares no gram with the table drops out here: it is prose too.
     scored = (
-        entries.join(F.broadcast(vocabulary), "gram", "left")
+        grammed.select(
+            "rid", "doc_id", "n", "at",
+            F.explode_outer(
+                F.when(last, F.array(F.lit(LAST))).otherwise(F.array_distinct(F.concat("w", "w2", "w3")))
+            ).alias("gram"),
+        )
+        .join(F.broadcast(vocabulary), "gram")
         .groupBy("rid", "doc_id", "n", "at")
         .agg(
-            *[(F.coalesce(F.sum(c), F.lit(0.0)) + F.lit(model.bias[i])).alias(c) for i, c in enumerate(names)],
-            F.first("shingles").alias("shingles"),
+            *[(F.sum(c) + F.lit(model.bias[i])).alias(c) for i, c in enumerate(names)],
+            *[F.sum(c).alias(c) for c in tallies],
         )
-    )
+    )
     exps = [F.exp((F.col(c) - F.greatest(*names)) / model.temperature) for c in names]
     label = F.element_at(F.array(*[F.lit(c) for c in model.classes]), F.array_position(F.array(*names), F.greatest(*names)).cast("int"))
     judged = scored.select(
-        "rid", "doc_id", "n", "at", "shingles",
+        "rid", "doc_id", "n", "at", *tallies,
         label.alias("label"),
         (F.lit(1.0) / sum(exps[1:], exps[0])).alias("confidence"),
         # How far licences as a whole are ahead of prose.
@@ -324,19 +345,12 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         .when((F.col("label") == UNKNOWN) | (F.col("confidence") < model.confidence), F.lit(UNKNOWN))
         .otherwise(F.col("label")),
     )
-    templates = [
-        (f, [" ".join(t.split()[i : i + SHINGLE]) for i in range(len(t.split()) - SHINGLE + 1)] or [t])
-        for f, ts in TEMPLATES.items()
-        for t in ts
-    ]
-    held = None
-    for family, shingles in templates:
-        found = (F.col("label") == family) & (
-            F.size(F.array_intersect("shingles", F.array(*[F.lit(s) for s in shingles]))) >= HELD * len(set(shingles))
-        )
-        held = found if held is None else held | found
+    held = F.lit(False)
+    for t, (family, _) in enumerate(TEMPLATE_LIST):
+        count = F.expr(f"shiftright(c{t // TALLIES}, {TALLY_BITS * (t % TALLIES)}) & {(1 << TALLY_BITS) - 1}")
+        held = held | ((F.col("label") == family) & (count >= HELD * len(shingles[t])))
     told = judged.select(
-        "rid", "doc_id", "n", "label", (F.coalesce(held, F.lit(False))).alias("held")
+        "rid", "doc_id", "n", "label", held.alias("held")
     )
     family = ~F.col("label").isin(NONE, UNKNOWN)
     return (
