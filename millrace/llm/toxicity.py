@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import body, ship, table
 
 #: Documented bounds of the training sample, in documents.
-MOST_POSITIVE = 3_000
-MOST_UNLABELLED = 6_000
+MOST_POSITIVE = 2_000
+MOST_UNLABELLED = 4_000
 #: Lengths of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
@@ -87,10 +87,11 @@ def fit(
     bias = math.log(prior / (1 - prior))
     if not positive or not unlabelled:
         return Model({}, bias)
-    rows = [Counter(f for w in distinct_words(t) for f in features(w)) for t in (*positive, *unlabelled)]
     n_pos, n_un = len(positive), len(unlabelled)
-    among_pos = Counter(f for r in rows[:n_pos] for f in r)
-    among_un = Counter(f for r in rows[n_pos:] for f in r)
+    among_pos, among_un = Counter(), Counter()
+    for seen, texts in ((among_pos, positive), (among_un, unlabelled)):
+        for t in texts:
+            seen.update({f for w in distinct_words(t) for f in features(w)})
 
     def surplus(f: str) -> float:
         expected = n_pos * (among_un[f] + 1) / (n_un + 2)
@@ -99,8 +100,11 @@ def fit(
     told = {f: surplus(f) for f, k in among_pos.items() if k >= least}
     names = sorted((f for f, x in told.items() if x >= excess), key=lambda f: (-told[f], f))[:most]
     index = {f: i for i, f in enumerate(names)}
-    cols = [[index[f] for f in r if f in index] for r in rows]
-    vals = [[r[f] for f in r if f in index] for r in rows]
+    # A second pass keeps only these features: most of what a text has is never held.
+    rows = []
+    for t in (*positive, *unlabelled):
+        rows.append(Counter(index[f] for w in distinct_words(t) for f in features(w) if f in index))
+    cols, vals = [list(r.keys()) for r in rows], [list(r.values()) for r in rows]
     lens = np.array([len(c) for c in cols])
     col = np.array([c for r in cols for c in r], dtype=np.int64)
     val = np.array([v for r in vals for v in r], dtype=np.float64)
