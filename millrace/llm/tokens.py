@@ -21,9 +21,9 @@ HUGE_CHARS = 32_768
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 #: Texts of a batch are encoded in runs of about this many characters.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 500_000
 #: Encoded words that one worker remembers.
-MEMO_WORDS = 350_000
+MEMO_WORDS = 250_000
 
 _OPEN: dict[str, object] = {}
 
@@ -228,8 +228,10 @@ class WordEncoder:
                 low = low.encode().decode("latin-1").translate(self.letters)
             memo[w] = b"".join([t.id.to_bytes(4, "little") for t in model(low)])
         other = list(other)
-        for w, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for a in range(0, len(other), 1000):
+            part = other[a : a + 1000]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
         for w, head, tail in tailed:
             memo[w] = memo[head] + memo[tail]
 
