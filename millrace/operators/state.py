@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -215,19 +214,21 @@ def stateful_par_do(
     output: object,
     key: str = "key",
     order_by: Iterable[str] | str | None = None,
-    time_mode: str = "ProcessingTime",
+    time_mode: str | None = None,
 ) -> DataFrame:
     """Process the rows of each key in order, with state of its own.
 
     A bounded ``df`` needs ``order_by``, as a shuffle keeps no order; a streaming one
-    processes rows as they arrive, and fires timers by ``time_mode``.
+    processes rows as they arrive.  Timers of a function that has a ``timer`` fire by
+    ``time_mode``, ``ProcessingTime`` unless told; a query with such timers never runs dry.
     """
     cells = _checked(fn)
     key_type(df.schema[key].dataType)
     ship(df.sparkSession)
     out = _struct(output)
     if df.isStreaming:
-        return _streaming(df, fn, cells, out, key, time_mode)
+        timed = type(fn).timer is not StatefulFn.timer
+        return _streaming(df, fn, cells, out, key, time_mode or ("ProcessingTime" if timed else "None"))
     if order_by is None:
         raise ValueError("stateful processing of a bounded input needs order_by")
     order = [order_by] if isinstance(order_by, str) else list(order_by)
@@ -307,9 +308,3 @@ def windowed_bag(df: DataFrame, key: str, value: str, order_by: list[str], every
     within = Window.partitionBy(key, "run_").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     return numbered.withColumn("total", F.sum(value).over(within)).drop("run_")
 
-
-@dataclass(frozen=True)
-class Timer:
-    """How timers of a streaming function fire: ``EventTime`` needs a watermark."""
-
-    mode: str = "ProcessingTime"

@@ -195,7 +195,7 @@ def read_content(blobs: DataFrame, text: bool = False) -> DataFrame:
     kind = T.StringType() if text else T.BinaryType()
     if not listed:
         return spark.createDataFrame([], T.StructType([T.StructField("key", T.StringType()), T.StructField("content", kind)]))
-    raw = spark.read.format("binaryFile").load([r["path"] for r in listed if True])
+    raw = spark.read.format("binaryFile").load([r["path"] for r in listed])
     # binaryFile leaves out empty files: the listing brings them back.
     names = spark.createDataFrame([(_plain(r["path"]), r["key"], bool(r["gzipped"])) for r in listed], "at string, key string, gzipped boolean")
     joined = F.broadcast(names).join(raw.select(F.regexp_replace(F.url_decode("path"), "^[a-z0-9]+:/+", "/").alias("of"), "content"), F.col("at") == F.col("of"), "left")
@@ -206,7 +206,7 @@ def read_content(blobs: DataFrame, text: bool = False) -> DataFrame:
 
     content = F.when(F.col("gzipped"), inflate("content", "gzipped")).otherwise(F.coalesce("content", F.lit(bytearray())))
     content = F.coalesce(content, F.lit(bytearray()))
-    return joined.select("key", (F.decode(content, F.lit("utf-8")) if text else content).alias("content"))
+    return joined.select("key", (F.decode(content, "utf-8") if text else content).alias("content"))
 
 
 def _plain(path: str) -> str:
