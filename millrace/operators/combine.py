@@ -121,6 +121,8 @@ def _two_phase(df: DataFrame, c: Combiner, key: str, value: str, output: T.DataT
     arrow_key, arrow_out = to_arrow_type(kind), to_arrow_type(output)
 
     def frozen(k):
+        if isinstance(k, float) and k != k:
+            return "NaN", None
         return pickle.dumps(k) if isinstance(k, (dict, list, bytearray)) else k
 
     def packed(accs: dict) -> pa.RecordBatch:
@@ -149,7 +151,7 @@ def _two_phase(df: DataFrame, c: Combiner, key: str, value: str, output: T.DataT
         for batch in batches:
             for k, a in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a = pickle.loads(a)  # noqa: S301  written by ``partial`` above
-                if not empty and k == last:
+                if not empty and (k == last or (k != k and last != last)):  # NaN is one key
                     acc = c.merge(acc, a)
                     continue
                 if not empty:

@@ -10,10 +10,12 @@ given one in batch; a stream has the order of arrival.
 from __future__ import annotations
 
 import pickle
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,78 +26,168 @@ from .combine import Combiner
 from .transforms import _struct
 
 
-class _Local:
+class _LocalValue:
     """State of one key, in memory."""
 
     def __init__(self):
         self.data = None
 
-    def load(self):
+    def get(self):
         return self.data
 
-    def save(self, data):
+    def set(self, data) -> None:
         self.data = data
 
+    def clear(self) -> None:
+        self.data = None
 
-class _Stored(_Local):
-    """State of one key, in a value state of the store."""
 
-    def __init__(self, state):
-        self.state = state
+class _LocalList:
+    def __init__(self):
+        self.data = []
 
-    def load(self):
-        return pickle.loads(self.state.get()[0]) if self.state.exists() else None  # noqa: S301  own state
+    def append(self, value) -> None:
+        self.data.append(value)
 
-    def save(self, data):
-        if data is None:
-            self.state.clear()
+    def read(self) -> list:
+        return list(self.data)
+
+    def put(self, values: list) -> None:
+        self.data = values
+
+    def clear(self) -> None:
+        self.data = []
+
+
+class _LocalMap(dict):
+    def put(self, key, value) -> None:
+        self[key] = value
+
+    def remove(self, key) -> None:
+        self.pop(key, None)
+
+    def pairs(self) -> list:
+        return list(self.items())
+
+
+_BLOB = T.StructType([T.StructField("data", T.BinaryType())])
+
+
+def _load(row):
+    return pickle.loads(row[0])  # noqa: S301  written by this module
+
+
+class _StoredValue:
+    """State of one key, in the state store."""
+
+    def __init__(self, handle, name: str):
+        self.state = handle.getValueState(name, _BLOB)
+
+    def get(self):
+        return _load(self.state.get()) if self.state.exists() else None
+
+    def set(self, data) -> None:
+        self.state.update((pickle.dumps(data),))
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class _StoredList:
+    """Appends write one value, whatever the list holds."""
+
+    def __init__(self, handle, name: str):
+        self.state = handle.getListState(name, _BLOB)
+
+    def append(self, value) -> None:
+        self.state.appendValue((pickle.dumps(value),))
+
+    def read(self) -> list:
+        return [_load(r) for r in self.state.get()]
+
+    def put(self, values: list) -> None:
+        if values:
+            self.state.put([(pickle.dumps(v),) for v in values])
         else:
-            self.state.update((pickle.dumps(data),))
+            self.state.clear()
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class _StoredMap:
+    """Reads and writes touch one entry."""
+
+    def __init__(self, handle, name: str):
+        self.state = handle.getMapState(name, _BLOB, _BLOB)
+
+    def get(self, key, default=None):
+        k = (pickle.dumps(key),)
+        return _load(self.state.getValue(k)) if self.state.containsKey(k) else default
+
+    def put(self, key, value) -> None:
+        self.state.updateValue((pickle.dumps(key),), (pickle.dumps(value),))
+
+    def __contains__(self, key) -> bool:
+        return self.state.containsKey((pickle.dumps(key),))
+
+    def remove(self, key) -> None:
+        self.state.removeKey((pickle.dumps(key),))
+
+    def keys(self) -> list:
+        return [_load(k) for k in self.state.keys()]
+
+    def pairs(self) -> list:
+        return [(_load(k), _load(v)) for k, v in self.state.iterator()]
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+_LOCAL = {"value": _LocalValue, "list": _LocalList, "map": _LocalMap}
+_STORED = {"value": _StoredValue, "list": _StoredList, "map": _StoredMap}
 
 
 class Cell:
     """A state cell; instances on a ``StatefulFn`` are templates, bound to each key."""
 
-    def __init__(self, backend: _Local | None = None):
-        self.backend = backend or _Local()
+    kind = "value"
 
-    def bound(self, backend: _Local) -> Cell:
-        return type(self)(backend=backend)
+    def __init__(self, backend=None):
+        self.backend = backend
+
+    def bound(self, backend) -> Cell:
+        return type(self)(backend)
 
     def clear(self) -> None:
-        self.backend.save(None)
+        self.backend.clear()
 
 
 class Bag(Cell):
     """Values in the order they were appended."""
 
-    def append(self, value) -> None:
-        self.backend.save([*(self.backend.load() or []), value] if isinstance(self.backend, _Stored) else self._grown(value))
+    kind = "list"
 
-    def _grown(self, value) -> list:
-        data = self.backend.load()
-        if data is None:
-            return [value]
-        data.append(value)
-        return data
+    def append(self, value) -> None:
+        self.backend.append(value)
 
     def read(self) -> Iterator:
-        return iter(list(self.backend.load() or ()))
+        return iter(self.backend.read())
 
 
 class Value(Cell):
     def write(self, value) -> None:
-        self.backend.save((value,))
+        self.backend.set((value,))
 
     def read(self, default=None):
-        data = self.backend.load()
+        data = self.backend.get()
         return default if data is None else data[0]
 
 
 class Combining(Cell):
     """A combiner's accumulator."""
 
-    def __init__(self, combiner: Combiner, backend: _Local | None = None):
+    def __init__(self, combiner: Combiner, backend=None):
         super().__init__(backend)
         self.combiner = combiner
 
@@ -103,78 +195,89 @@ class Combining(Cell):
         return Combining(self.combiner, backend)
 
     def add(self, value) -> None:
-        data = self.backend.load()
-        self.backend.save((self.combiner.first(value) if data is None else self.combiner.step(data[0], value),))
+        data = self.backend.get()
+        self.backend.set((self.combiner.first(value) if data is None else self.combiner.step(data[0], value),))
 
     def read(self, default=None):
-        data = self.backend.load()
+        data = self.backend.get()
         return default if data is None else self.combiner.finish(data[0])
 
 
 class Map(Cell):
+    kind = "map"
+
     def put(self, key, value) -> None:
-        self.backend.save({**(self.backend.load() or {}), key: value})
+        self.backend.put(key, value)
 
     def get(self, key, default=None):
-        return (self.backend.load() or {}).get(key, default)
+        return self.backend.get(key, default)
 
     def remove(self, key) -> None:
-        self.backend.save({k: v for k, v in (self.backend.load() or {}).items() if k != key} or None)
+        self.backend.remove(key)
 
     def keys(self) -> list:
-        return list(self.backend.load() or ())
+        return list(self.backend.keys())
 
     def items(self) -> list:
-        return list((self.backend.load() or {}).items())
+        return self.backend.pairs()
 
 
 class Set(Cell):
     """Distinct values."""
 
+    kind = "map"
+
     def add(self, value) -> bool:
         """Add a value; whether it is new."""
-        data = self.backend.load() or set()
-        if value in data:
+        if value in self.backend:
             return False
-        self.backend.save(data | {value} if isinstance(self.backend, _Stored) else (data.add(value) or data))
+        self.backend.put(value, True)
         return True
 
+    def remove(self, value) -> None:
+        self.backend.remove(value)
+
     def __contains__(self, value) -> bool:
-        return value in (self.backend.load() or ())
+        return value in self.backend
 
     def read(self) -> list:
-        return sorted(self.backend.load() or ())
+        return sorted(self.backend.keys())
 
 
 class MultiMap(Cell):
+    kind = "map"
+
     def put(self, key, value) -> None:
-        data = dict(self.backend.load() or {})
-        data[key] = [*data.get(key, ()), value]
-        self.backend.save(data)
+        self.backend.put(key, [*self.backend.get(key, ()), value])
 
     def get(self, key) -> Iterator:
-        return iter((self.backend.load() or {}).get(key, ()))
-
-    def keys(self) -> list:
-        return list(self.backend.load() or ())
+        return iter(self.backend.get(key, ()))
 
     def remove(self, key) -> None:
-        self.backend.save({k: v for k, v in (self.backend.load() or {}).items() if k != key} or None)
+        self.backend.remove(key)
+
+    def keys(self) -> list:
+        return list(self.backend.keys())
 
 
 class OrderedList(Cell):
     """Values by time; equal times keep the order they were added in."""
 
+    kind = "list"
+
     def add(self, time, value) -> None:
-        self.backend.save([*(self.backend.load() or []), (time, value)])
+        self.backend.append((time, value))
 
     def read(self, low=None, high=None) -> list:
         """``(time, value)`` with low <= time < high, by time."""
-        found = [x for x in self.backend.load() or () if (low is None or x[0] >= low) and (high is None or x[0] < high)]
+        found = [x for x in self.backend.read() if (low is None or x[0] >= low) and (high is None or x[0] < high)]
         return sorted(found, key=lambda x: x[0])
 
     def clear_range(self, low, high) -> None:
-        self.backend.save([x for x in self.backend.load() or () if not low <= x[0] < high] or None)
+        held = self.backend.read()
+        left = [x for x in held if not low <= x[0] < high]
+        if len(left) < len(held):
+            self.backend.put(left)
 
 
 class StatefulFn:
@@ -246,10 +349,10 @@ def _batch(df, fn, names, out: T.StructType, key: str, order: list[str]) -> Data
         for batch in batches:
             for row in batch.to_pylist():
                 k = row[key]
-                if not begun or k != last:
+                if not begun or (k != last and (k == k or last == last)):  # NaN is one key
                     last, begun = k, True
                     for n, t in templates.items():
-                        setattr(fn, n, t.bound(_Local()))
+                        setattr(fn, n, t.bound(_LOCAL[t.kind]()))
                 fn.process(k, row, lambda v: rows.append(_row(v, fields)))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -268,32 +371,38 @@ def _streaming(df, fn, cells: dict[str, Cell], out: T.StructType, key: str, time
         def init(self, handle):
             self.handle = handle
             for name, cell in cells.items():
-                state = handle.getValueState(name, T.StructType([T.StructField("data", T.BinaryType())]))
-                setattr(fn, name, cell.bound(_Stored(state)))
+                setattr(fn, name, cell.bound(_STORED[cell.kind](handle, name)))
             fn.set_timer = handle.registerTimer
             fn.delete_timer = handle.deleteTimer
 
         def _frame(self, rows):
             return pd.DataFrame([[r.get(f) for f in fields] for r in rows], columns=fields)
 
-        def handleInputRows(self, key, rows, timers):  # noqa: N802  the name Spark calls
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802  the name Spark calls
             found: list[dict] = []
             for pdf in rows:
                 for row in pdf.to_dict("records"):
                     fn.process(key[0], row, lambda v: found.append(_row(v, fields)))
             yield self._frame(found)
 
-        def handleExpiredTimer(self, key, timers, expired):  # noqa: N802
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
             found: list[dict] = []
-            fn.timer(key[0], expired.getExpiryTimeInMs(), lambda v: found.append(_row(v, fields)))
+            fn.timer(key[0], expiredTimerInfo.getExpiryTimeInMs(), lambda v: found.append(_row(v, fields)))
             yield self._frame(found)
 
         def close(self):
             pass
 
-    return df.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Processor(), outputStructType=out, outputMode="Append", timeMode=time_mode
-    )
+    # Spark also starts a worker on the driver, which gets no shipped files: the package
+    # travels with the function itself.
+    package = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        return df.groupBy(key).transformWithStateInPandas(
+            statefulProcessor=Processor(), outputStructType=out, outputMode="Append", timeMode=time_mode
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
 
 
 def windowed_bag(df: DataFrame, key: str, value: str, order_by: list[str], every: int) -> DataFrame:

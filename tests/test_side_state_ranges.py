@@ -132,6 +132,48 @@ def test_bag_in_streaming(spark, tmp_path):
     assert sorted(map(tuple, got)) == WANT
 
 
+def test_all_cells_in_streaming(spark, keyed, tmp_path):
+    from millrace.streaming import run_available
+
+    keyed.coalesce(1).sortWithinPartitions("value").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(keyed.schema).parquet(str(tmp_path / "in"))
+    out = stateful_par_do(stream, Everything(), "key bigint, value bigint, text string")
+    got = run_available(out, str(tmp_path / "out"), str(tmp_path / "checkpoint")).collect()
+    batch = stateful_par_do(keyed, Everything(), "key bigint, value bigint, text string", order_by="value").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
+
+
+class Alarm(StatefulFn):
+    """Counts elements and reports when a timer is due."""
+
+    n = Value()
+
+    def process(self, key, row, emit):
+        self.n.write(self.n.read(0) + 1)
+        self.set_timer(1)
+
+    def timer(self, key, time_ms, emit):
+        emit((key, self.n.read()))
+
+
+def test_timers(spark, keyed, tmp_path):
+    import time
+
+    keyed.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(keyed.schema).parquet(str(tmp_path / "in"))
+    out = stateful_par_do(stream, Alarm(), "key bigint, n bigint")
+    query = out.writeStream.format("memory").queryName("alarms").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(120):
+            got = sorted(map(tuple, spark.table("alarms").collect()))
+            if len(got) >= 3:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert got == [(0, 4), (1, 3), (2, 3)]
+
+
 def test_range_tracker():
     t = RangeTracker(OffsetRange(3, 6))
     assert t.start() == 3 and t.try_claim(3) and t.progress() == (1, 2)

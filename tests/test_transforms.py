@@ -227,6 +227,13 @@ def test_custom_combiner_flushes_a_full_table(spark, monkeypatch):
     assert len(got) == 100 and all(r.value == 10 for r in got)
 
 
+def test_custom_combiner_groups_odd_keys(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, 1), (nan, 2), (0.0, 3), (-0.0, 4), (None, 5)], "key double, value bigint").repartition(3)
+    got = combine_per_key(df, simple_merge(lambda a, b: a + b), output=int).collect()
+    assert sorted(r.value for r in got) == [3, 5, 7]
+
+
 def test_combine_globally(ints):
     assert combine_globally(ints, "sum").first().value == 45
     assert combine_globally(ints, MEAN, output=float).first().value == 4.5
