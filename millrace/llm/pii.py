@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,34 +47,51 @@ LOOKALIKES = {
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5",
+    "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5",
+    "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5",
+    "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
 }
+# Ends of host names that are no common words.  Only these follow a bare "dot".
+ENDINGS = (
+    "com org net edu gov mil int info biz io co ai app dev example test invalid local localhost uk de fr es eu ch nl "
+    "se pl br ru cn jp ca au nz mx ar kr dk fi pt cz gr hu ie za tv cc xyz online"
+).split()
 
 #: Characters without width that may be put inside an identifier.
 UNSEEN = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad")
-#: What the first transducer rewrites: the above, full-width forms, digits of any script.
-ODD = re.compile("[" + "".join(LOOKALIKES) + "".join(UNSEEN) + "\uff01-\uff5e]|[^\\x00-\\x7f\\D]")
+#: What the first transducer rewrites: the above, full-width and styled forms, digits of any script.
+ODD = re.compile(
+    "[" + "".join(LOOKALIKES) + "".join(UNSEEN)
+    + "\uff01-\uff5e\u2070-\u2089\u2460-\u2468\u24b6-\u24e9\U0001d400-\U0001d7ff]|[^\\x00-\\x7f\\D]"
+)
 
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: Runs of spelled digits, at least four tokens with digits and signs between them.
 SPELLED = re.compile(
-    rf"(?i)(?<![a-z0-9])(?:(?:{_WORD}|plus|[0-9]+)(?:[ \-.,]{{1,3}}|(?:[ \-,]{{1,3}}(?:dot|point)[ \-,]{{1,3}})))"
-    rf"{{3,}}(?:{_WORD}|[0-9]+)(?![a-z0-9])"
+    rf"(?i)(?<!\w)(?:(?:{_WORD}|plus|[0-9]+)(?:[ \-.,]{{1,3}}|(?:[ \-,]{{1,3}}(?:dot|point|punto|punkt)[ \-,]{{1,3}})))"
+    rf"{{3,}}(?:{_WORD}|[0-9]+)(?!\w)"
 )
-SPELLED_TOKEN = re.compile(rf"(?i){_WORD}|plus|dot|point|[0-9]+|[^a-z0-9]+")
-_SIGN, _LABEL, _OPEN, _SHUT = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]+", r"[ \t]{0,2}[\[({<]\s{0,2}", r"\s{0,2}[\])}>][ \t]{0,2}"
-AT, DOT = rf"{_OPEN}(?:at|@){_SHUT}", rf"{_OPEN}(?:dot|\.){_SHUT}"
-BARE_AT, BARE_DOT = r"[ \t]{1,2}at[ \t]{1,2}", r"[ \t]{1,2}dot[ \t]{1,2}"
-_NAME = rf"(?<!{_SIGN}){_SIGN}+(?:(?:{DOT}|{BARE_DOT}){_SIGN}+){{0,6}}"
+SPELLED_TOKEN = re.compile(rf"(?i){_WORD}|plus|dot|point|punto|punkt|[0-9]+|[^a-z0-9]")
+_SIGN, _LABEL, _OPEN, _SHUT = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]{1,63}", r"[ \t]{0,2}[\[({<]\s{0,2}", r"\s{0,2}[\])}>][ \t]{0,2}"
+_ATS, _DOTS = "at|arroba|arobase", "dot|punto|point|punkt"
+AT = rf"(?:{_OPEN}(?:{_ATS}|@){_SHUT}|[ \t]?[-_*](?:{_ATS})[-_*][ \t]?)"
+DOT = rf"(?:{_OPEN}(?:{_DOTS}|\.){_SHUT}|[ \t]?[-_*](?:{_DOTS})[-_*][ \t]?)"
+BARE_AT, BARE_DOT = rf"[ \t]{{1,2}}(?:{_ATS})[ \t]{{1,2}}", rf"[ \t]{{1,2}}(?:{_DOTS}|\.)[ \t]{{1,2}}"
+_NAME = rf"(?<!{_SIGN}){_SIGN}{{1,64}}?(?:(?:{DOT}|{BARE_DOT}){_SIGN}{{1,64}}?){{0,6}}"
+_END = rf"(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9])"
 #: A disguised address: bracketed signs may stand beside plain ones; the bare word "at"
-#: counts only with a disguised dot, as prose has it before names too.
+#: counts only with a disguised dot and a known ending, as prose has such words too.
 DISGUISED = re.compile(
-    rf"(?i)(?:{_NAME}(?P<at>{AT}){_LABEL}(?:(?:\.|{DOT}|{BARE_DOT}){_LABEL}){{1,6}})"
+    rf"(?i)(?:{_NAME}(?P<at>{AT}){_LABEL}?(?:(?:\.|{DOT}|{BARE_DOT}){_LABEL}){{1,6}})"
     rf"|(?:{_NAME}(?P<bare>{BARE_AT}|[ \t]{{0,2}}@[ \t]{{0,2}})"
-    rf"{_LABEL}(?:\.{_LABEL}){{0,6}}(?:(?:{DOT}|{BARE_DOT}){_LABEL}(?:\.{_LABEL}){{0,6}}){{1,6}})"
+    rf"{_LABEL}?(?:(?:\.|{DOT}|{BARE_DOT}){_LABEL}?){{0,6}}(?:\.|{DOT}|{BARE_DOT}){_END}(?:(?:\.|{DOT}|{BARE_DOT}){_END})?)"
 )
 DOT_FORM = re.compile(rf"(?i){DOT}|{BARE_DOT}")
 #: Every disguised address or dotted number has one of these.
-SIGN_HINT = re.compile(r"(?i)[\[({<]\s{0,2}(?:at|@|dot|\.)\s{0,2}[\])}>]|[ \t]dot[ \t]")
+SIGN_HINT = re.compile(rf"(?i)[\[({{<]\s{{0,2}}(?:{_ATS}|@|{_DOTS}|\.)\s{{0,2}}[\])}}>]|[ \t](?:{_DOTS})[ \t]|[-_*](?:{_ATS}|{_DOTS})[-_*]|[ \t]@|@[ \t]")
 DOTTED_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{DOT}|{BARE_DOT})[0-9]{{1,3}}){{3}}(?![0-9.])")
 
 
@@ -149,9 +167,10 @@ def _ascii(c: str) -> str:
         return LOOKALIKES[c]
     if c in UNSEEN:
         return ""
-    if "\uff01" <= c <= "\uff5e":
-        return chr(ord(c) - 0xFEE0)
-    return str(int(c))
+    if c.isdecimal():
+        return str(int(c))
+    plain_form = unicodedata.normalize("NFKC", c)
+    return plain_form if len(plain_form) == 1 and plain_form.isascii() else c
 
 
 def _spelled(run: str) -> str:
@@ -163,7 +182,7 @@ def _spelled(run: str) -> str:
             out.append(DIGIT_WORDS[t])
         elif t == "plus":
             out.append("+")
-        elif t in ("dot", "point"):
+        elif t in ("dot", "point", "punto", "punkt"):
             out.append(".")
         elif t.isdigit():
             out.append(t)
