@@ -75,13 +75,18 @@ def fit(
     least: int = 3,
     excess: float = 4.0,
     most: int = 5_000,
+    told: int = 20,
 ) -> Model:
     """Minimise the non-negative PU risk with the logistic loss.
 
     ``prior`` is the share of toxic texts among the unlabelled.  Features are those that
     positive texts have more often than unlabelled ones by ``excess`` standard deviations,
-    and at least ``least`` of them, up to the ``most`` telling ones.  Without positive
-    texts the model is the prior alone.
+    and at least ``least`` of them, up to the ``most`` telling ones.  Labelled texts need
+    not be a fair sample, so the prior is lowered to what the unlabelled texts allow: no
+    larger a share of them can be toxic than those that show the ``told`` most telling
+    features, over the share of toxic texts that do.  At the end the bias is held so low
+    that no more than 1.25 times the prior of unlabelled texts reach the threshold.
+    Without positive texts the model is the prior alone.
     """
     prior = min(max(prior, 1e-3), 0.9)
     bias = math.log(prior / (1 - prior))
@@ -97,8 +102,8 @@ def fit(
         expected = n_pos * (among_un[f] + 1) / (n_un + 2)
         return (among_pos[f] - expected) / math.sqrt(expected + 0.5)
 
-    told = {f: surplus(f) for f, k in among_pos.items() if k >= least}
-    names = sorted((f for f, x in told.items() if x >= excess), key=lambda f: (-told[f], f))[:most]
+    gain = {f: surplus(f) for f, k in among_pos.items() if k >= least}
+    names = sorted((f for f, x in gain.items() if x >= excess), key=lambda f: (-gain[f], f))[:most]
     index = {f: i for i, f in enumerate(names)}
     # A second pass keeps only these features: most of what a text has is never held.
     rows = []
@@ -110,6 +115,10 @@ def fit(
     val = np.array([v for r in vals for v in r], dtype=np.float64)
     row = np.repeat(np.arange(len(rows)), lens)
     pos = np.arange(len(rows)) < n_pos
+    shown = np.bincount(row, weights=col < told, minlength=len(rows)) > 0
+    if shown[pos].any():
+        prior = min(prior, max(shown[~pos].mean() / shown[pos].mean(), 1e-3))
+        bias = math.log(prior / (1 - prior))
     w, b = np.zeros(len(names)), bias
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, epochs + 1):
@@ -127,6 +136,9 @@ def fit(
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
+    z = np.bincount(row, weights=val * w[col], minlength=len(rows))[~pos]
+    most_called = np.quantile(z, max(1 - 1.25 * prior, 0.0), method="higher")
+    b = min(b, math.log(THRESHOLD / (1 - THRESHOLD)) - most_called - 1e-6)
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(b))
 
 
