@@ -4,8 +4,9 @@ Documents become pieces of at most one sequence.  Only the histogram of piece
 lengths, one count for each possible length, reaches the driver.  There a bin is
 opened with the longest length left, and a bitset subset-sum over the lengths still
 available finds the fullest combination that fits; the combination is repeated as
-often as the counts allow and removed.  Each such pattern uses up a length, so there
-are at most as many patterns as lengths, whatever the number of documents.
+often as the counts allow and removed.  Each such pattern leaves fewer copies of one
+of its lengths than it takes, so the number of patterns follows the number of lengths,
+about one to one, and not the number of documents.
 
 Pieces then find their place by their rank among the pieces of equal length: ranks
 are numbered in salted groups, so that a length shared by very many pieces is
@@ -81,8 +82,8 @@ def recipe(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.nda
     """Where the pieces of each length go, by their rank.
 
     Rows (length, first rank, first sequence, copies, offset), sorted by the first two.
-    There are at most capacity patterns of at most sqrt(2 * capacity) lengths each,
-    which bounds this table whatever the data.
+    Patterns follow the number of lengths, and each has at most sqrt(2 * capacity) of
+    them, which bounds this table whatever the data.
     """
     rows, used, sequence = [], {}, 0
     for times, pattern in min_bin_slack(counts, capacity):

@@ -23,7 +23,7 @@ OVERLAP_CHARS = 512
 #: Texts of a batch are encoded in runs of about this many characters.
 RUN_CHARS = 500_000
 #: Encoded words that one worker remembers.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 
 _OPEN: dict[str, object] = {}
 
@@ -204,13 +204,15 @@ class WordEncoder:
     SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, name: str, limit: int = MEMO_WORDS):
-        self.tok, self.limit, self.memo = open_tokenizer(name), limit, {"": b""}
+        self.tok, self.limit, self.memo, self.older = open_tokenizer(name), limit, {"": b""}, {}
         self.letters = _byte_letters()
 
     def _learn(self, words: set[str]) -> None:
         memo, model, tailed, other = self.memo, self.tok.model.tokenize, [], set()
         letters = set()
-        for w in words:
+        kept = words & self.older.keys()
+        memo.update((w, self.older[w]) for w in kept)
+        for w in words - kept:
             head = w.rstrip(self.SYMBOLS)
             if not head.isalpha() or max(head) > "\xff":
                 other.add(w)
@@ -242,8 +244,8 @@ class WordEncoder:
         self._learn(set().union(*cut).difference(memo))
         get = memo.__getitem__
         out = [b"".join(map(get, words)) for words in cut]
-        if len(memo) > self.limit:
-            self.memo = {"": b""}
+        if len(memo) > self.limit // 2:  # words met since the last time survive
+            self.memo, self.older = {"": b""}, memo
         return out
 
 
