@@ -180,7 +180,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
     listed = spark.createDataFrame(pd.DataFrame(pairs.astype(np.int32), columns=["i", "j"]), schema)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pairs) // 4, 4000))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pairs) // 4, 100_000))
     work = (
         listed.join(blocks.select(F.col("block").alias("i"), F.col("fps").alias("left")), "i")
         .join(blocks.select(F.col("block").alias("j"), F.col("fps").alias("right")), "j")
