@@ -9,13 +9,35 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ship import ship
+from ..functions.ship import ship as ship_package
 
-__all__ = ["body", "forget", "fresh_path", "lower_ascii", "materialize", "shared_dir", "ship", "table"]
+__all__ = [
+    "bitmap", "body", "forget", "fresh_path", "lower_ascii", "marked", "materialize", "shared_dir", "ship", "table",
+    "without",
+]
+
+#: Words of 64 bits in a bitmap: it has so many rows at most, about 8 MB.
+WORDS = 1 << 18
+_BIT = "cast(pmod(shiftright(hash_, 32), 64) as int)"
+
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package known to the workers, and keep batches of whole texts small.
+
+    The session's bound on the bytes of a batch is lowered, never raised.
+    """
+    ship_package(spark)
+    to_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if to_bytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,3 +99,35 @@ def forget(df: DataFrame) -> None:
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """``word_, bits_``: the set bits of all values of ``hash_``; bounded, so fit to broadcast."""
+    return (
+        hashes.groupBy(F.pmod("hash_", F.lit(WORDS)).alias("word_"))
+        .agg(F.expr(f"bit_or(shiftleft(1L, {_BIT}))").alias("bits_"))
+    )
+
+
+def marked(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows``, which have ``hash_``, with ``maybe_``: false where its bit is unset.
+
+    A false one is certain; a true one proves nothing, and an exact join must follow.
+    """
+    met = rows.join(F.broadcast(bits), F.pmod("hash_", F.lit(WORDS)) == F.col("word_"), "left")
+    maybe = F.coalesce(F.expr(f"(shiftright(bits_, {_BIT}) & 1) = 1"), F.lit(False))
+    return met.withColumn("maybe_", maybe).drop("word_", "bits_", "hash_")
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``docs`` less the rows whose ``key`` is in ``gone``; a null key goes with a null one.
+
+    Rows that a bitmap of ``gone`` clears go straight through; only the others are joined,
+    so texts that stay are not shuffled, however long ``gone`` is.
+    """
+    lost = materialize(gone.select(F.col(key).alias("gone_")).distinct(), "dropped")
+    # Whole rows travel in one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row_"), F.col(key).alias("key_"), F.xxhash64(key).alias("hash_"))
+    rows = marked(rows, bitmap(lost.select(F.xxhash64("gone_").alias("hash_"))))
+    doubtful = rows.where("maybe_").join(lost, F.col("key_").eqNullSafe(F.col("gone_")), "left_anti")
+    return rows.where("not maybe_").select("row_.*").unionByName(doubtful.select("row_.*"))

@@ -19,19 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, lower_ascii, materialize, table
-
-#: Words of 64 bits in the bitmap: it has so many rows at most, about 8 MB.
-WORDS = 1 << 18
-BIT = "cast(pmod(shiftright(h_, 32), 64) as int)"
-
-
-def _bitmap(groups: DataFrame) -> DataFrame:
-    return (
-        groups.withColumn("h_", F.xxhash64("g_gid", "g_digit", "g_ended"))
-        .groupBy(F.pmod("h_", F.lit(WORDS)).alias("word"))
-        .agg(F.expr(f"bit_or(shiftleft(1L, {BIT}))").alias("bits"))
-    )
+from .common import bitmap, forget, lower_ascii, marked, materialize, table
 
 
 def exact_dedup(
@@ -41,12 +29,15 @@ def exact_dedup(
     first_digit: int = 512,
     growth: int = 8,
 ) -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, rid``.
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; a null text is empty.
     The row with the largest id stays; among repeated rows of that id exactly one
     does, and a null id is the smallest.  Empty tables give no rows.  Other columns
-    are ignored.  ``rid`` is the row's ``monotonically_increasing_id`` in ``docs``.
+    are ignored.
+
+    Row numbers only name groups and break ties, and are compared within one written
+    table only: scans of ``docs`` may be split differently from one job to the next.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     level = docs.select(
@@ -73,13 +64,11 @@ def exact_dedup(
             .where("n > 1"),
             "radix-groups",
         )
-        h = F.xxhash64("gid", "digit", "ended")
-        marked = rows.withColumn("h_", h).join(
-            F.broadcast(_bitmap(groups)), F.pmod("h_", F.lit(WORDS)) == F.col("word"), "left"
-        )
-        maybe = F.coalesce(F.expr(f"(shiftright(bits, {BIT}) & 1) = 1"), F.lit(False))
+        bits = bitmap(groups.select(F.xxhash64("g_gid", "g_digit", "g_ended").alias("hash_")))
+        met = marked(rows.withColumn("hash_", F.xxhash64("gid", "digit", "ended")), bits)
+        maybe = F.col("maybe_")
         # A row that is alone keeps a key of its own, which spreads such rows evenly.
-        sent = marked.select(
+        sent = met.select(
             "rid",
             "doc",
             "sha",
@@ -107,7 +96,6 @@ def exact_dedup(
                 finished.alias("finished"),
                 F.when(single, F.col("doc")).otherwise(F.col("top.doc")).alias("keep_id"),
                 F.coalesce("n", F.lit(1)).alias("group_size"),
-                (single | (F.col("top.rid") == F.col("rid"))).alias("kept"),
             ),
             "radix-level",
         )
@@ -117,9 +105,8 @@ def exact_dedup(
                 F.col("doc").alias("doc_id"),
                 "keep_id",
                 "group_size",
-                "kept",
                 F.col("sha").alias("text_sha256"),
-                "rid",
+                F.struct(F.lit(len(done)).alias("level"), "rid").alias("row_"),
             )
         )
         active = settled.where("not finished")
@@ -130,11 +117,27 @@ def exact_dedup(
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    # Almost every group has one row of its largest id; where rows repeat it, one is chosen.
+    top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    ties = materialize(
+        out.where(top & (F.col("group_size") > 1))
+        .groupBy(F.col("doc_id").alias("of_"), F.col("text_sha256").alias("sha_"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("row_").alias("first_"))
+        .where("n > 1"),
+        "radix-ties",
+    )
+    met = F.col("doc_id").eqNullSafe(F.col("of_")) & (F.col("text_sha256") == F.col("sha_"))
+    return out.join(ties, met, "left").select(
+        "doc_id",
+        "keep_id",
+        "group_size",
+        (top & (F.col("first_").isNull() | (F.col("first_") == F.col("row_")))).alias("kept"),
+        "text_sha256",
+    )
 
 
 def op6_exact_dedup(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents")).drop("rid")
+    return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 OP6_SQL = """

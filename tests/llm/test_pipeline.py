@@ -37,9 +37,10 @@ def corpus(spark, tmp_path_factory):
         rows += [(2000 + 10 * k + j, t + " tail" * j) for j in range(1, 4)]
     rows += [(3000 + k, " ".join(prose(30)) + " " + passage[k % 5] + " " + " ".join(prose(30))) for k in range(20)]
     rows += [(4000, None), (4001, ""), (4002, "  "), (4003, base[0]), (4003, base[0]), (None, "no id here at all")]
-    rows = [(i, t, "en", "src", len(t or "")) for i, t in rows]
+    # Columns of clashing names, nulls in any column.
+    rows = [(i, t, "en", "src" if i else None, len(t or ""), "x", None, "y", "z", 1) for i, t in rows]
     top = tmp_path_factory.mktemp("corpus")
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, hash_ string, maybe_ string, key_ string, rid string, gone_ int"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
     spark.createDataFrame(list(enumerate(passage)), "item_id bigint, text string").write.parquet(f"{top}/benchmark.parquet")
