@@ -10,10 +10,12 @@ them alike; exact deduplication, which drops by row, leaves one of each equal te
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, table
+from millrace.llm.common import bitmap, lower_ascii, marked, materialize, table, without
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.packing import pack
@@ -24,26 +26,41 @@ from millrace.llm.toxicity import THRESHOLD, filter_toxic, train
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """``docs`` less the rows whose ``key`` is in ``dropped``; a null key stays.
-
-    What is dropped is written out first: the join then knows its size, and takes the
-    shuffle of texts only where that table is too large to broadcast.
-    """
-    gone = materialize(dropped.select(F.col(key).alias("gone_")).where("gone_ is not null"), "dropped")
-    return docs.join(gone, F.col(key) == F.col("gone_"), "left_anti")
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold, in one pass over the texts."""
     return filter_toxic(docs, train(docs, table(spark, sf_dir, "labels")), THRESHOLD)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id."""
-    columns = docs.columns
-    rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    return without(rows, exact_dedup(docs).where("not kept"), "rid").select(*columns)
+    """One document of each group of equal texts, the one with the largest id.
+
+    Rows are named by id and digest of the text that was compared, never by their place
+    in a scan.  Where a row to keep is repeated as it is, one of the repeats stays.
+    """
+    lost = materialize(
+        exact_dedup(docs)
+        .where("not kept")
+        .select(
+            F.col("doc_id").alias("gone_"),
+            F.col("text_sha256").alias("digest_"),
+            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again_"),
+        )
+        .distinct(),
+        "dropped",
+    )
+    # As in ``without``: only rows whose id may be in the list are named and joined.
+    sha = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+    rows = docs.select(
+        F.struct("*").alias("row_"), F.col("doc_id").alias("key_"), F.xxhash64("doc_id").alias("hash_"), sha.alias("sha_")
+    )
+    rows = marked(rows, bitmap(lost.select(F.xxhash64("gone_").alias("hash_"))))
+    named = rows.where("maybe_")
+    met = F.col("key_").eqNullSafe(F.col("gone_")) & (F.col("sha_") == F.col("digest_"))
+    kept = [rows.where("not maybe_"), named.join(lost, met, "left_anti")]
+    again = lost.where("again_")
+    if not again.isEmpty():
+        kept.append(named.join(again, met, "left_semi").dropDuplicates(["key_", "sha_"]))
+    return reduce(DataFrame.unionByName, [k.select("row_.*") for k in kept])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
