@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, ship, table
+from .common import body, lower_ascii, ship, table
 
 #: Documented bounds of the training sample, in documents.
 MOST_POSITIVE = 2_000
@@ -29,6 +29,8 @@ MOST_UNLABELLED = 4_000
 #: Lengths of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
+#: So many of the most telling features show how common toxic texts are.
+TOLD = 20
 THRESHOLD = 0.7
 MEMO = 300_000
 
@@ -65,45 +67,50 @@ class Model:
         return 1 / (1 + math.exp(-min(max(total, -700.0), 700.0)))
 
 
+def telling(
+    positive: list[str], unlabelled: list[str], least: int = 3, excess: float = 4.0, most: int = 5_000
+) -> list[str]:
+    """The features that tell positive texts from unlabelled ones, the most telling first.
+
+    They are those that positive texts have more often by ``excess`` standard deviations,
+    and at least ``least`` of them, ``most`` of these in all.
+    """
+    n_pos, n_un = len(positive), len(unlabelled)
+    among_pos, among_un = Counter(), Counter()
+    for seen, texts in ((among_pos, positive), (among_un, unlabelled)):
+        for t in texts:
+            seen.update({f for w in distinct_words(t) for f in features(w)})
+
+    def surplus(f: str) -> float:
+        expected = n_pos * (among_un[f] + 1) / (n_un + 2)
+        return (among_pos[f] - expected) / math.sqrt(expected + 0.5)
+
+    gain = {f: surplus(f) for f, k in among_pos.items() if k >= least}
+    return sorted((f for f, x in gain.items() if x >= excess), key=lambda f: (-gain[f], f))[:most]
+
+
 def fit(
     positive: list[str],
     unlabelled: list[str],
     prior: float,
+    names: list[str] | None = None,
     epochs: int = 300,
     rate: float = 0.1,
     decay: float = 1e-4,
-    least: int = 3,
-    excess: float = 4.0,
-    most: int = 5_000,
-    told: int = 20,
 ) -> Model:
     """Minimise the non-negative PU risk with the logistic loss.
 
-    ``prior`` is the share of toxic texts among the unlabelled.  Features are those that
-    positive texts have more often than unlabelled ones by ``excess`` standard deviations,
-    and at least ``least`` of them, up to the ``most`` telling ones.  Labelled texts need
-    not be a fair sample, so the prior is lowered to what the unlabelled texts allow: no
-    larger a share of them can be toxic than those that show the ``told`` most telling
-    features, over the share of toxic texts that do.  At the end the bias is held so low
+    ``prior`` is the share of toxic texts among the unlabelled.  ``names`` are the features,
+    by default those that are ``telling``.  At the end the bias is held so low
     that no more than 1.25 times the prior of unlabelled texts reach the threshold.
     Without positive texts the model is the prior alone.
     """
-    prior = min(max(prior, 1e-3), 0.9)
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
     bias = math.log(prior / (1 - prior))
     if not positive or not unlabelled:
         return Model({}, bias)
     n_pos, n_un = len(positive), len(unlabelled)
-    among_pos, among_un = Counter(), Counter()
-    for seen, texts in ((among_pos, positive), (among_un, unlabelled)):
-        for t in texts:
-            seen.update({f for w in distinct_words(t) for f in features(w)})
-
-    def surplus(f: str) -> float:
-        expected = n_pos * (among_un[f] + 1) / (n_un + 2)
-        return (among_pos[f] - expected) / math.sqrt(expected + 0.5)
-
-    gain = {f: surplus(f) for f, k in among_pos.items() if k >= least}
-    names = sorted((f for f, x in gain.items() if x >= excess), key=lambda f: (-gain[f], f))[:most]
+    names = telling(positive, unlabelled) if names is None else names
     index = {f: i for i, f in enumerate(names)}
     # A second pass keeps only these features: most of what a text has is never held.
     rows = []
@@ -115,10 +122,6 @@ def fit(
     val = np.array([v for r in vals for v in r], dtype=np.float64)
     row = np.repeat(np.arange(len(rows)), lens)
     pos = np.arange(len(rows)) < n_pos
-    shown = np.bincount(row, weights=col < told, minlength=len(rows)) > 0
-    if shown[pos].any():
-        prior = min(prior, max(shown[~pos].mean() / shown[pos].mean(), 1e-3))
-        bias = math.log(prior / (1 - prior))
     w, b = np.zeros(len(names)), bias
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, epochs + 1):
@@ -147,6 +150,50 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def digest(text_col: str) -> Column:
+    """Names a text; letter case A-Z is no matter."""
+    return F.xxhash64(lower_ascii(body(text_col)), F.lit(11))
+
+
+def votes(docs: DataFrame, own: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``digest, positive`` of every labelled text: positive where half of its labels are toxic."""
+    by_id = own.groupBy("of").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
+    return (
+        docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"))
+        .join(by_id, F.col("id") == F.col("of"))
+        .groupBy("digest")
+        .agg((2 * F.sum("toxic") >= F.sum("n")).alias("positive"))
+    )
+
+
+def toxic_share(docs: DataFrame, voted: DataFrame, names: list[str], text_col: str) -> float | None:
+    """The share of toxic texts among all distinct ones, from who shows any of ``names``.
+
+    Labelled texts need not be a fair sample, but toxic ones show such features as often
+    among the labelled as anywhere, and so do clean ones.  Hence the share of all texts
+    that show them, less that of the clean, over the distance from the clean to the toxic.
+    None where the labelled do not tell.
+    """
+    ship(docs.sparkSession)
+    marks = Model(dict.fromkeys(names, 1.0), 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shown = [marks.score(t.as_py()) > 0.5 for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shown, pa.bool_())], names=["digest", "shown"])
+
+    flags = docs.select(digest(text_col).alias("digest"), body(text_col).alias("text")).mapInArrow(
+        run, "digest bigint, shown boolean"
+    )
+    each = flags.groupBy("digest").agg(F.max("shown").cast("double").alias("shown")).join(voted, "digest", "left")
+    own = [F.avg(F.when(F.col("positive") == k, F.col("shown"))) for k in (True, False)]
+    among_all, among_pos, among_neg = each.agg(F.avg("shown"), *own).first()
+    among_neg = among_neg or 0.0
+    if among_pos is None or among_pos <= among_neg:
+        return None
+    return (among_all - among_neg) / (among_pos - among_neg)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -156,11 +203,13 @@ def train(
     most_positive: int = MOST_POSITIVE,
     most_unlabelled: int = MOST_UNLABELLED,
     prior: float | None = None,
+    told: int = TOLD,
 ) -> Model:
     """Fit on a sample of ``docs``; labels count only where ``held_out`` is false.
 
     Both samples are those with the least hash of the id, so they do not depend on the
-    layout of the data.  ``prior`` defaults to the share of toxic rows among the labels.
+    layout of the data.  ``prior`` defaults to the ``toxic_share`` of all texts by the
+    ``told`` most telling features, or the share of toxic labels where these do not tell.
     """
     own = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("toxic")
@@ -188,12 +237,14 @@ def train(
     )
     texts = fetched["text"].tolist()
     mark = fetched["positive"].tolist()
-    share = prior if prior is not None else (toxic / n if n else 0.0)
-    return fit(
-        [t for t, k in zip(texts, mark, strict=True) if k],
-        [t for t, k in zip(texts, mark, strict=True) if not k],
-        share,
-    )
+    positive = [t for t, k in zip(texts, mark, strict=True) if k]
+    unlabelled = [t for t, k in zip(texts, mark, strict=True) if not k]
+    names = telling(positive, unlabelled)
+    if prior is None and names:
+        prior = toxic_share(docs, votes(docs, own, id_col, text_col), names[:told], text_col)
+    if prior is None:
+        prior = toxic / n if n else 0.0
+    return fit(positive, unlabelled, prior, names)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.licences import OTHERS, TEMPLATES, UNKNOWN, scan, train
 from millrace.llm.pii import find, luhn, personal_data, plain
-from millrace.llm.toxicity import fit, held_out, score, toxicity
+from millrace.llm.toxicity import fit, held_out, score, toxic_share, toxicity, votes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UP = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -185,6 +185,34 @@ def test_toxicity_on_held_out_rows(spark, make):
     assert sum(r.predicted == int(r.doc_id % 6 == 0) for r in hidden) >= 0.95 * len(hidden)
 
 
+def toxic_corpus(draw, n, every, start=0):
+    common = [f"c{i}" for i in range(300)]
+    rows = []
+    for i in range(start, start + n):
+        text = [draw.choice(common) for _ in range(40)]
+        if i % every == 0:
+            for bad in draw.sample(["vile", "awful", "nasty", "rotten"], 2):
+                text[draw.randrange(40)] = bad
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("every", [2, 40])
+def test_toxic_prior_follows_all_documents(spark, make, every):
+    """A tenth of the labels is toxic; of the other documents, more or fewer are."""
+    draw = random.Random(6)
+    known, others = toxic_corpus(draw, 600, 10), toxic_corpus(draw, 1200, every, 10_000)
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in known], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity(make(known + others), labels).collect()}
+    truth = {i: int(i % (10 if i < 10_000 else every) == 0) for i, _ in known + others}
+    own = labels.where(~held_out("doc_id")).withColumnRenamed("doc_id", "of")
+    voted = votes(make(known + others), own, "doc_id", "text")
+    share = toxic_share(make(known + others), voted, ["vile", "awful", "nasty", "rotten"], "text")
+    assert abs(share - sum(truth.values()) / 1800) < 0.02
+    found = sum(got[i] for i, y in truth.items() if y)
+    assert found >= 0.95 * sum(truth.values()) and sum(got.values()) - found <= 9
+
+
 def test_toxicity_ignores_held_out_labels(spark, make):
     rows = [(i, "vile words" if i % 2 else "kind words") for i in range(60)]
     docs = make(rows)
