@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, lower_ascii, ship, table
+from .common import body, lower_ascii, materialize, ship, table
 
 #: Documented bounds of the training sample, in documents.
 MOST_POSITIVE = 2_000
-MOST_UNLABELLED = 4_000
+MOST_UNLABELLED = 8_000
 #: Lengths of the word beginnings that are features beside the word.
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"\w+")
@@ -207,43 +207,44 @@ def train(
 ) -> Model:
     """Fit on a sample of ``docs``; labels count only where ``held_out`` is false.
 
-    Both samples are those with the least hash of the id, so they do not depend on the
-    layout of the data.  ``prior`` defaults to the ``toxic_share`` of all texts by the
-    ``told`` most telling features, or the share of toxic labels where these do not tell.
+    Both samples are of distinct texts, those with the least digest, so copies of a text
+    count once, and nothing depends on the layout of the data.  ``prior`` defaults to the
+    ``toxic_share`` of all texts by the ``told`` most telling features, or the share of
+    toxic texts among the labelled where these do not tell.
     """
     own = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("toxic")
     )
-    # Narrow rows only: the texts of the samples are fetched by id afterwards.
-    n, toxic = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    hashed = F.xxhash64(F.col("of"), F.lit(11))
-    chosen = own.where("toxic = 1").select("of").distinct().orderBy(hashed, "of").limit(most_positive)
+    seen = docs.where(~held_out(id_col))
+    voted = materialize(votes(seen, own, id_col, text_col), "toxic-votes")
+    # Narrow rows only: the texts of the samples are fetched by digest afterwards.
+    chosen = voted.where("positive").orderBy("digest").limit(most_positive)
     others = (
-        docs.where(~held_out(id_col))
-        .select(F.col(id_col).alias("of"))
-        .where("of is not null")
-        .orderBy(hashed, "of")
+        seen.select(digest(text_col).alias("digest"), F.lit(False).alias("positive"))
+        .distinct()
+        .orderBy("digest")
         .limit(most_unlabelled)
     )
     # Bounded by the two limits, and so small enough to broadcast.
-    sample = chosen.withColumn("positive", F.lit(True)).unionByName(others.distinct().withColumn("positive", F.lit(False)))
+    sample = chosen.unionByName(others).groupBy("digest").agg(
+        F.max("positive").alias("positive"), F.min("positive").alias("only")
+    )
+    sample = sample.select(F.col("digest").alias("of"), "positive", (~F.col("only")).alias("unlabelled"))
     fetched = (
-        docs.select(F.col(id_col).alias("id"), body(text_col).alias("text"))
-        .join(F.broadcast(sample), F.col("id") == F.col("of"))
-        .dropDuplicates(["id", "positive"])
-        .select("id", "text", "positive")
+        seen.select(digest(text_col).alias("digest"), lower_ascii(body(text_col)).alias("text"))
+        .join(F.broadcast(sample), F.col("digest") == F.col("of"))
+        .groupBy("digest", "positive", "unlabelled")
+        .agg(F.min("text").alias("text"))
         .toPandas()
-        .sort_values("id")
+        .sort_values("digest")
     )
-    texts = fetched["text"].tolist()
-    mark = fetched["positive"].tolist()
-    positive = [t for t, k in zip(texts, mark, strict=True) if k]
-    unlabelled = [t for t, k in zip(texts, mark, strict=True) if not k]
+    positive = fetched["text"][fetched["positive"]].tolist()
+    unlabelled = fetched["text"][fetched["unlabelled"]].tolist()
     names = telling(positive, unlabelled)
     if prior is None and names:
-        prior = toxic_share(docs, votes(docs, own, id_col, text_col), names[:told], text_col)
+        prior = toxic_share(seen, voted, names[:told], text_col)
     if prior is None:
-        prior = toxic / n if n else 0.0
+        prior = voted.agg(F.coalesce(F.avg(F.col("positive").cast("int")), F.lit(0.0))).first()[0]
     return fit(positive, unlabelled, prior, names)
 
 
