@@ -101,8 +101,7 @@ def fit(
     """Minimise the non-negative PU risk with the logistic loss.
 
     ``prior`` is the share of toxic texts among the unlabelled.  ``names`` are the features,
-    by default those that are ``telling``.  At the end the bias is held so low
-    that no more than 1.25 times the prior of unlabelled texts reach the threshold.
+    by default those that are ``telling``.  Nothing bounds how many texts are called toxic.
     Without positive texts the model is the prior alone.
     """
     prior = min(max(prior, 1e-3), 1 - 1e-3)
@@ -139,9 +138,6 @@ def fit(
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    z = np.bincount(row, weights=val * w[col], minlength=len(rows))[~pos]
-    most_called = np.quantile(z, max(1 - 1.25 * prior, 0.0), method="higher")
-    b = min(b, math.log(THRESHOLD / (1 - THRESHOLD)) - most_called - 1e-6)
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(b))
 
 

@@ -251,6 +251,11 @@ def test_non_negative_risk_keeps_clean_texts_clean():
     assert model.score("bad words") > 0.5 > model.score("good words")
 
 
+def test_no_quota_on_texts_called_toxic():
+    model = fit([f"bad p{i}" for i in range(40)], ["good day"] * 60 + ["bad day"] * 40, 0.31)
+    assert model.score("bad day") >= 0.7 > model.score("good day")
+
+
 def test_score_sees_texts_only(spark, make):
     model = fit(["bad one"] * 10, ["good"] * 50, 0.1)
     a = score(make([(1, "bad"), (4, "bad")]), model).collect()
