@@ -4,18 +4,18 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is wr
 Parquet and read again as the next stage's ``docs``.  All but the last return the columns
 of ``documents``; the last returns the packed pieces.
 
-``doc_id`` names a document.  Where rows repeat an id, the stages that drop by id treat
-them alike; exact deduplication, which drops by row, leaves one of each equal text.
+The stages that drop rows name them by id and digest of the text, a null id being a value
+like any other, so rows that share an id but not a text are judged each by itself.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bitmap, lower_ascii, marked, materialize, table, without
+from millrace.llm.common import bitmap, lower_ascii, marked, materialize, table
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.packing import pack
@@ -31,47 +31,75 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return filter_toxic(docs, train(docs, table(spark, sf_dir, "labels")), THRESHOLD)
 
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id.
+def sha() -> Column:
+    """Digest of a text; letter case A-Z is no matter, as in all comparisons of texts."""
+    return F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
 
-    Rows are named by id and digest of the text that was compared, never by their place
-    in a scan.  Where a row to keep is repeated as it is, one of the repeats stays.
+
+def named(docs: DataFrame) -> DataFrame:
+    """``name_, text``: the name sorts by id, the missing ones last, and then by digest."""
+    name = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), sha().alias("sha"))
+    return docs.select(name.alias("name_"), "text")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows named in ``gone``: ``gone_, digest_, again_``.
+
+    Where ``again_`` is set, one of the rows of that name stays.
     """
-    lost = materialize(
-        exact_dedup(docs)
-        .where("not kept")
-        .select(
-            F.col("doc_id").alias("gone_"),
-            F.col("text_sha256").alias("digest_"),
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again_"),
-        )
-        .distinct(),
-        "dropped",
-    )
+    lost = materialize(gone.distinct(), "dropped")
     # As in ``without``: only rows whose id may be in the list are named and joined.
-    sha = F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
     rows = docs.select(
-        F.struct("*").alias("row_"), F.col("doc_id").alias("key_"), F.xxhash64("doc_id").alias("hash_"), sha.alias("sha_")
+        F.struct("*").alias("row_"), F.col("doc_id").alias("key_"), F.xxhash64("doc_id").alias("hash_"), sha().alias("sha_")
     )
     rows = marked(rows, bitmap(lost.select(F.xxhash64("gone_").alias("hash_"))))
-    named = rows.where("maybe_")
+    doubtful = rows.where("maybe_")
     met = F.col("key_").eqNullSafe(F.col("gone_")) & (F.col("sha_") == F.col("digest_"))
-    kept = [rows.where("not maybe_"), named.join(lost, met, "left_anti")]
+    kept = [rows.where("not maybe_"), doubtful.join(lost, met, "left_anti")]
     again = lost.where("again_")
     if not again.isEmpty():
-        kept.append(named.join(again, met, "left_semi").dropDuplicates(["key_", "sha_"]))
+        kept.append(doubtful.join(again, met, "left_semi").dropDuplicates(["key_", "sha_"]))
     return reduce(DataFrame.unionByName, [k.select("row_.*") for k in kept])
 
 
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id.
+
+    Rows are named by id and digest of the text that was compared, never by their place
+    in a scan.  Where a row to keep is repeated as it is, one of the repeats stays.
+    """
+    gone = exact_dedup(docs).where("not kept")
+    return without_rows(
+        docs,
+        gone.select(
+            F.col("doc_id").alias("gone_"),
+            F.col("text_sha256").alias("digest_"),
+            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again_"),
+        ),
+    )
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    return without(docs, near_groups(docs).where("doc_id != component_id"), "doc_id")
+    """One document of each near-duplicate group, the one with the smallest id.
+
+    A missing id comes after all others; where the smallest id is repeated, the text with
+    the smallest digest stays, and one row of it.
+    """
+    found = near_groups(named(docs), id_col="name_").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = F.col("doc_id") == F.col("component_id")
+    gone = found.where(~kept | (F.col("n") > 1))
+    return without_rows(
+        docs, gone.select(F.col("doc_id.id").alias("gone_"), F.col("doc_id.sha").alias("digest_"), kept.alias("again_"))
+    )
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated"), "doc_id")
+    found = decontaminate(named(docs), table(spark, sf_dir, "benchmark"), id_col="name_").where("contaminated")
+    return without_rows(
+        docs,
+        found.select(F.col("doc_id.id").alias("gone_"), F.col("doc_id.sha").alias("digest_"), F.lit(False).alias("again_")),
+    )
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

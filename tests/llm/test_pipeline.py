@@ -92,3 +92,20 @@ def test_empty_documents(spark, corpus, tmp_path):
     docs = spark.read.parquet(f"{top}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, top).collect() == []
+
+
+def test_stages_judge_rows_that_share_an_id(spark, corpus, make):
+    top, _, items = corpus
+    draw = random.Random(12)
+    prose = [" ".join(f"u{draw.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    passage = items[0][1]
+    rows = [(None, prose[0]), (None, prose[1]), (None, passage), (7, prose[2]), (7, passage + " more")]
+    got = corpus_pipeline.decontamination_stage(spark, make(rows), top).collect()
+    assert sorted((r.text for r in got)) == sorted(prose[:3])
+    # Equal but for white space: near copies that exact deduplication leaves.
+    rows = [(None, prose[0]), (None, prose[0] + " "), (None, prose[1]), (7, prose[2]), (7, prose[2] + " "),
+            (7, prose[3]), (9, prose[4]), (None, prose[4] + " "), (11, prose[5]), (11, prose[5])]
+    got = corpus_pipeline.near_stage(spark, make(rows), top).collect()
+    assert sorted((str(r.doc_id), r.text.strip()) for r in got) == sorted(
+        zip(("None", "None", "7", "7", "9", "11"), prose, strict=True)
+    )
