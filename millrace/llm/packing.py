@@ -9,8 +9,8 @@ of its lengths than it takes, so the number of patterns follows the number of le
 about one to one, and not the number of documents.
 
 Pieces then find their place by their rank among the pieces of equal length: ranks
-are numbered in salted groups, so that a length shared by very many pieces is
-spread over many tasks.
+are numbered in groups by the turn in which a piece was written, so that a length
+shared by very many pieces, or by one piece repeated, is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, materialize, ship, table
-from .tokens import RUN_CHARS, WordEncoder
+from .tokens import WordEncoder
 
 CAPACITY = 4096
 #: Pieces that share one numbering task, on average, before more salts are used.
@@ -111,41 +111,40 @@ def pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every piece, in one pass."""
+    """``doc_id, piece, start, length, ids_crc32, turn`` of every piece, in one pass.
+
+    ``turn`` counts the pieces of one task; it is no name, but spreads repeated rows.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encoder, end = _ENCODERS[tokenizer], np.array([end_id], dtype="<u4").tobytes()
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "turn"]
+        turn = 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows, begin, size = [], 0, 0
-            for i in range(len(texts) + 1):
-                if i == len(texts) or size > RUN_CHARS:
-                    for k, ids in enumerate(encoder.ids(texts[begin:i]), begin):
-                        ids += end
-                        n = len(ids) // 4
-                        for piece, a in enumerate(range(0, n, capacity)):
-                            part = ids[4 * a : 4 * (a + capacity)]
-                            rows.append((k, piece, a, len(part) // 4, zlib.crc32(part)))
-                    begin, size = i, 0
-                if i < len(texts):
-                    size += len(texts[i])
+            rows = []
+            for k, text in enumerate(batch.column(1)):
+                ids = encoder.ids(text.as_py()) + end
+                for piece, a in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * a : 4 * (a + capacity)]
+                    rows.append((k, piece, a, len(part) // 4, zlib.crc32(part)))
             cols = np.array(rows, dtype=np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(cols[:, 0])),
                     pa.array(cols[:, 1].astype(np.int32)),
                     *(pa.array(cols[:, j]) for j in (2, 3, 4)),
+                    pa.array(np.arange(turn, turn + len(cols))),
                 ],
                 names=names,
             )
+            turn += len(cols)
 
     ship(docs.sparkSession)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), body(text_col).alias("text")).mapInArrow(
-        cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+        cut, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, turn bigint"
     )
 
 
@@ -170,7 +169,7 @@ def pack(
     places = recipe(counts, capacity)
     salts = SALTS + sum(counts.values()) // ROWS_PER_SALT
     keys = ["length", "salt"]
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("salt", F.pmod("turn", F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         salted.groupBy(*keys)
@@ -178,6 +177,7 @@ def pack(
         .select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     )
     inside = Window.partitionBy(*keys).orderBy("doc_id", "piece", "ids_crc32")
+    whole = cut.columns[:5]
     ranked = salted.withColumn("in_", F.row_number().over(inside) - 1).join(starts, keys)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +194,8 @@ def pack(
                 names=[*batch.schema.names[:5], "sequence_id", "offset"],
             )
 
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    return ranked.select(*cut.columns, (F.col("first") + F.col("in_")).alias("rank")).mapInArrow(
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*whole).schema)
+    return ranked.select(*whole, (F.col("first") + F.col("in_")).alias("rank")).mapInArrow(
         place, f"{head}, sequence_id bigint, offset bigint"
     )
 

@@ -6,7 +6,10 @@ a parameter of every operator.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +25,13 @@ CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
 #: Texts of a batch are encoded in runs of about this many characters.
 RUN_CHARS = 500_000
-#: Encoded words that one worker remembers.
-MEMO_WORDS = 400_000
+#: Longer texts are encoded in stretches of about this many characters, cut at blanks.
+STRETCH_CHARS = 1 << 20
+#: Encoded pre-tokens that one worker remembers.
+MEMO_WORDS = 800_000
 
 _OPEN: dict[str, object] = {}
+_COUNTERS: dict[str, object] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -149,6 +155,9 @@ def count_tokens(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = open_tokenizer(tokenizer)
         pieces = not hasattr(tok, "encode_batch_fast")
+        if not pieces and tokenizer not in _COUNTERS:
+            _COUNTERS[tokenizer] = ByteCounter(tok) if ByteCounter.fits(tok) else None
+        counter = _COUNTERS.get(tokenizer)
         for batch in batches:
             texts, counts = batch.column(1).to_pylist(), []
             for a, b in _runs(texts):
@@ -156,12 +165,11 @@ def count_tokens(
                 if pieces:
                     counts += [len(x) for x in tok.encode(run, num_threads=1)]
                     continue
-                small = [t if len(t) <= huge else "" for t in run]
-                found = [len(e) for e in tok.encode_batch_fast(small, add_special_tokens=False)]
-                counts += [
-                    n if len(t) <= huge else count_huge(tok, t, chunk, overlap)
-                    for t, n in zip(run, found, strict=True)
-                ]
+                found = [count_huge(tok, t, chunk, overlap) if len(t) > huge else counter and counter.count(t) for t in run]
+                left = [i for i, n in enumerate(found) if n is None]
+                for i, e in zip(left, tok.encode_batch_fast([run[i] for i in left], add_special_tokens=False), strict=True):
+                    found[i] = len(e)
+                counts += found
             tokens = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), tokens,
@@ -190,64 +198,146 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+# The letters, numbers and white space among the Latin-1 characters.
+UPPERS, LOWERS = "A-Z\xc0-\xd6\xd8-\xde", "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+NUMBERS, BLANKS = "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t-\\r \x85\xa0"
+# The pre-tokens of the two tokenizers, over Latin-1 characters.
+_TAILS = "'(?:s|t|re|ve|m|ll|d)"
+_SYMBOLS = f"[^{UPPERS}{LOWERS}{NUMBERS}{BLANKS}]+"
+WORD_PIECES = re.compile(f"[{LOWERS}]+|{_TAILS}|{_SYMBOLS}|[{NUMBERS}]")
+BYTE_PIECES = re.compile(
+    f"{_TAILS}| ?[{UPPERS}{LOWERS}]+| ?[{NUMBERS}]+| ?{_SYMBOLS}|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+)
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are below U+0100, so that the patterns above hold for them."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Memo(dict):
+    """Results of ``learn`` by key; what was met since the last time survives ``trim``."""
+
+    def __init__(self, learn, limit: int):
+        self.learn, self.limit, self.older = learn, limit, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.learn(key)
+        self[key] = found
+        return found
+
+    def trim(self) -> None:
+        """Keep at most ``limit`` entries, and as many as one text may add."""
+        if len(self) > self.limit // 2:
+            self.older = dict(self)
+            self.clear()
+
+
+def stretches(text: str, most: int) -> Iterator[str]:
+    """``text`` in parts of about ``most`` characters, each later one beginning with a blank."""
+    begin = 0
+    while len(text) - begin > most:
+        cut = text.rfind(" ", begin + 1, begin + most)
+        if cut < 0:
+            cut = text.find(" ", begin + most)
+        if cut < 0:
+            break
+        yield text[begin:cut]
+        begin = cut
+    yield text[begin:]
+
+
 class WordEncoder:
-    """Ids of texts under a lower-casing tokenizer that drops white space, word by word.
-
-    A pre-tokenizer that removes white space never lets a token, an added token or a
-    normalisation reach over a blank, so a text's ids are those of its blank-separated
-    words in a row.  Words are remembered.  A new word of Latin-1 letters is one
-    pre-token, which composition leaves as it is: it goes straight to the model, in
-    lower case.  ASCII symbols after it are a pre-token of their own.  Any other word
-    goes through the whole tokenizer.
+    """Ids of texts under a lower-casing tokenizer that drops white space.
+
+    Such a tokenizer never lets a token, an added token or a normalisation reach over a
+    blank, and merges never leave a pre-token.  In Latin-1 texts, which composition
+    leaves as they are, one pattern finds the pre-tokens; each goes to the model once and
+    is remembered.  Other texts, and those where an added token may stand, are taken by
+    blank-separated words, and of these a word that is not Latin-1 goes through the
+    whole tokenizer.
     """
 
-    SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
     def __init__(self, name: str, limit: int = MEMO_WORDS):
-        self.tok, self.limit, self.memo, self.older = open_tokenizer(name), limit, {"": b""}, {}
-        self.letters = _byte_letters()
-
-    def _learn(self, words: set[str]) -> None:
-        memo, model, tailed, other = self.memo, self.tok.model.tokenize, [], set()
-        letters = set()
-        kept = words & self.older.keys()
-        memo.update((w, self.older[w]) for w in kept)
-        for w in words - kept:
-            head = w.rstrip(self.SYMBOLS)
-            if not head.isalpha() or max(head) > "\xff":
-                other.add(w)
-                continue
-            if len(head) < len(w):
-                tail = w[len(head) :]
-                tailed.append((w, head, tail))
-                if tail not in memo:
-                    other.add(tail)
-            if head not in memo:
-                letters.add(head)
-        for w in letters:
-            low = w.lower()
-            if not low.isascii():
-                low = low.encode().decode("latin-1").translate(self.letters)
-            memo[w] = b"".join([t.id.to_bytes(4, "little") for t in model(low)])
-        other = list(other)
-        for a in range(0, len(other), 1000):
-            part = other[a : a + 1000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, head, tail in tailed:
-            memo[w] = memo[head] + memo[tail]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        memo = self.memo
-        self._learn(set().union(*cut).difference(memo))
-        get = memo.__getitem__
-        out = [b"".join(map(get, words)) for words in cut]
-        if len(memo) > self.limit // 2:  # words met since the last time survive
-            self.memo, self.older = {"": b""}, memo
+        self.tok = open_tokenizer(name)
+        self.letters, self.model = _byte_letters(), self.tok.model.tokenize
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.pieces, self.words = Memo(self._piece, limit), Memo(self._word, limit)
+
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model(piece)]).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        return is_latin(text) and not any(t in text for t in self.added)
+
+    def _word(self, word: str) -> bytes:
+        if self._plain(word):
+            return b"".join(map(self.pieces.__getitem__, WORD_PIECES.findall(word.lower())))
+        return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _stretch(self, text: str) -> bytes:
+        if self._plain(text):
+            out = b"".join(map(self.pieces.__getitem__, WORD_PIECES.findall(text.lower())))
+        else:
+            blank = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            out = b"".join(map(self.words.__getitem__, blank.split(" ")))
+            self.words.trim()
+        self.pieces.trim()
         return out
 
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text."""
+        if len(text) <= STRETCH_CHARS:
+            return self._stretch(text)
+        return b"".join(map(self._stretch, stretches(text, STRETCH_CHARS)))
+
+
+class ByteCounter:
+    """Numbers of tokens of Latin-1 texts under a byte-level tokenizer that keeps white space.
+
+    Merges never leave a pre-token, so a text has the tokens of its pre-tokens; how many
+    one has is asked of the model once and remembered.
+    """
+
+    def __init__(self, tok, limit: int = MEMO_WORDS):
+        self.letters, self.model = _byte_letters(), tok.model.tokenize
+        self.added = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self.pieces = Memo(self._piece, limit)
+
+    @staticmethod
+    def fits(tok) -> bool:
+        """Whether ``tok`` is such a tokenizer, as its file says."""
+        told = json.loads(tok.to_str())
+        pre, model = told["pre_tokenizer"] or {}, told["model"]
+        return (
+            told["normalizer"] is None
+            and told["post_processor"] is None
+            and pre.get("type") == "ByteLevel"
+            and pre.get("use_regex") is True
+            and pre.get("add_prefix_space") is False
+            and model["type"] == "BPE"
+            and model["dropout"] is None
+        )
+
+    def _piece(self, piece: str) -> int:
+        return len(self.model(piece.encode().decode("latin-1").translate(self.letters)))
+
+    def count(self, text: str) -> int | None:
+        """The tokens of ``text``; None where only the library can tell."""
+        if not is_latin(text) or any(t in text for t in self.added):
+            return None
+        found = sum(map(self.pieces.__getitem__, BYTE_PIECES.findall(text)))
+        self.pieces.trim()
+        return found
+
 
 def op5_token_counts(spark, sf_dir):
     return count_tokens(table(spark, sf_dir, "documents"))
