@@ -1,14 +1,16 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
 Every window of ``window`` words is represented by the least hash of the k-grams
-inside it.  Equal windows have equal least hashes, so a document window can only
-occur in the benchmark if its least hash is among the benchmark's: that semi-join
-finds every shared span of ``window`` words, however it lies.  What survives is
-extended to the whole window and joined on its words, so no hash decides a hit.
-
-All of this happens in the row of the document, over a broadcast table of the
-benchmark; only what a document has in common with it is shuffled.  The benchmark's
-windows are counted first; beyond the bound they are taken in blocks.
+inside it, and neighbouring windows with the same one are kept as one run.  Equal
+windows have equal least hashes, so a document window can only occur in the benchmark
+if its least hash is among the benchmark's: that semi-join finds every shared span of
+``window`` words, however it lies.  The runs that survive are extended to their whole
+windows and joined on the words, so no hash decides a hit.
+
+All of this happens in the row of the document while the benchmark's windows fit a
+broadcast of checked size; only what a document has in common with it is shuffled.
+Beyond, a bitmap of fixed size clears most runs in place, and what is left is joined
+by shuffles that adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, lower_ascii, materialize, table
+from .common import bitmap, body, lower_ascii, marked, materialize, table
 
 WINDOW = 13
 #: Everything that is not part of a word, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows of the benchmark that are broadcast at once, about 100 MB at most.
-BLOCK = 500_000
+#: Bytes of the benchmark's windows, with their items, that are broadcast.
+BROADCAST_BYTES = 64 << 20
 #: The end of a document's windows: it takes the document's word count along.
 LAST = (1 << 63) - 1
 
@@ -39,7 +41,7 @@ def _gram(length: int) -> int:
 
 
 def _with_minima(words: DataFrame, lengths: list[int]) -> DataFrame:
-    """Add ``minima``: for each length in turn, the least hash of every window of it.
+    """Add ``m<length>`` for each length: the least hash of every window of it.
 
     ``words`` has ``w``, the word array, and ``n``, its size.
     """
@@ -50,25 +52,30 @@ def _with_minima(words: DataFrame, lengths: list[int]) -> DataFrame:
         # The last entries reach beyond the text; no window below reads them.
         df = df.withColumn(f"g{2 * k}", F.expr(f"transform(g{k}, (x, i) -> xxhash64(x, get(g{k}, i + {k})))"))
         k *= 2
-    parts = []
     for length in lengths:
         g, wide = f"g{_gram(length)}", length - _gram(length) + 1
         others = "".join(f", get({g}, i + {d})" for d in range(1, wide))
         least = f"transform({g}, (x, i) -> least(x{others}))" if others else g
-        parts.append(f"slice({least}, 1, greatest(n - {length - 1}, 0))")
-    return df.withColumn("minima", F.expr(f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0])).drop(
-        *(f"g{1 << i}" for i in range(4))
-    )
+        df = df.withColumn(f"m{length}", F.expr(f"slice({least}, 1, greatest(n - {length - 1}, 0))"))
+    return df.drop(*(f"g{1 << i}" for i in range(4)))
+
 
+def _with_runs(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Add ``runs``: for each length, its windows in runs of one least hash.
 
-def _unfold(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """For each entry of ``minima``: its ``least``, and ``start`` and ``len`` of its window."""
-    at, start, length = "p", "p", str(lengths[0])
-    for i, k in enumerate(lengths[1:], 1):
-        skipped = " + ".join(f"greatest(n - {j - 1}, 0)" for j in lengths[:i])
-        start = f"if({at} >= {skipped}, {at} - ({skipped}), {start})"
-        length = f"if({at} >= {skipped}, {k}, {length})"
-    return df.withColumn("start", F.expr(start)).withColumn("len", F.expr(length))
+    A run is ``least``, ``start`` and ``stop`` (positions of its windows) and ``len``.  The
+    last entry, of hash ``LAST``, stands for the document itself.
+    """
+    for k in lengths:
+        fresh = f"filter(transform(m{k}, (x, i) -> if(i > 0 and x = get(m{k}, i - 1), null, i)), x -> x is not null)"
+        df = df.withColumn(f"s{k}", F.expr(fresh))
+    parts = [
+        f"transform(s{k}, (x, j) -> named_struct('least', get(m{k}, x), 'start', x, "
+        f"'stop', coalesce(get(s{k}, j + 1), size(m{k})), 'len', {k}))"
+        for k in lengths
+    ]
+    parts.append(f"array(named_struct('least', {LAST}L, 'start', 0, 'stop', 1, 'len', 0))")
+    return df.withColumn("runs", F.expr(f"concat({', '.join(parts)})"))
 
 
 def benchmark_windows(items: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
@@ -80,13 +87,14 @@ def benchmark_windows(items: DataFrame, window: int, item_col: str, text_col: st
     out = []
     for length in range(1, window + 1):
         own = words.where(F.col("n") == length if length < window else F.col("n") >= window)
-        rows = _with_minima(own, [length]).select("item", "w", F.posexplode_outer("minima").alias("p", "least"))
+        rows = _with_minima(own, [length]).select("item", "w", F.posexplode_outer(f"m{length}").alias("p", "least"))
         out.append(
             rows.select("item", "least", F.concat_ws(" ", F.slice("w", F.col("p") + 1, length)).alias("gram"),
                         F.lit(length).alias("len"))
         )
     every = reduce(DataFrame.unionByName, out)
-    return every.groupBy("least", "gram", "len").agg(F.collect_set("item").alias("items"))
+    # Sorted, so that equal sets are equal arrays, which a document then holds once.
+    return every.groupBy("least", "gram", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def decontaminate(
@@ -98,7 +106,7 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block: int = BLOCK,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """What each document has in common with the benchmark.
 
@@ -107,44 +115,45 @@ def decontaminate(
     of fewer words, but not none, is one window.  A document word inside any
     occurrence of a window is hit; a document is contaminated when words are hit and
     ``share`` times as many as it has are no fewer than it has.  A null or empty text
-    has no words.  An item without an id hits, but is not listed.  An empty benchmark
-    hits nothing; other columns are ignored.
+    has no words; a very long one is one row all the same, taken whole in time in
+    proportion to its words.  Repeated rows each give a row and a null id is a value like
+    any other.  An item without an id hits, but is not listed.  An empty benchmark hits
+    nothing, an empty ``docs`` gives no rows; other columns are ignored.
     """
     bench = materialize(benchmark_windows(benchmark, window, item_col, item_text_col), "benchmark-windows")
-    found = bench.groupBy("len").agg(F.count(F.lit(1)).alias("n")).collect()  # ``window`` rows at most
+    wide = F.octet_length("gram") + 40 + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
+    found = bench.groupBy("len").agg(F.sum(wide).alias("bytes")).collect()  # ``window`` rows at most
     lengths = sorted({window, *(r["len"] for r in found)}, reverse=True)
-    blocks = max(1, -(-sum(r["n"] for r in found) // block))
+    small = sum(r["bytes"] for r in found) <= broadcast_bytes
 
     words = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).alias("doc_id"),
         word_array(body(text_col)).alias("w"),
     ).withColumn("n", F.size("w"))
-    entries = _unfold(
-        _with_minima(words, lengths).select(
-            "rid", "doc_id", "w", "n", F.posexplode_outer(F.concat("minima", F.array(F.lit(LAST)))).alias("p", "least")
-        ),
-        lengths,
+    entries = (
+        _with_runs(_with_minima(words, lengths), lengths)
+        .select("rid", "doc_id", "w", "n", F.explode_outer("runs").alias("run"))
+        .select("rid", "doc_id", "w", "n", "run.*")
     )
-    parts = []
-    for b in range(blocks):
-        own = bench.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b) if blocks > 1 else bench
-        least = own.select("least").distinct()
-        if b == 0:
-            least = least.unionByName(docs.sparkSession.range(1).select(F.lit(LAST).alias("least"))).distinct()
-        near = entries.join(F.broadcast(least), "least", "left_semi").select(
-            "rid",
-            "doc_id",
-            "n",
-            "start",
-            "len",
-            (F.col("least") == LAST).alias("last"),
-            F.expr("concat_ws(' ', slice(w, start + 1, len))").alias("gram"),
-        )
-        parts.append(
-            near.join(F.broadcast(own.select("gram", "items")), "gram", "left").where("last or items is not null")
-        )
-    hits = reduce(DataFrame.unionByName, parts)
+    least = bench.select("least").unionByName(docs.sparkSession.range(1).select(F.lit(LAST).alias("least"))).distinct()
+    if small:
+        near = entries.join(F.broadcast(least), "least", "left_semi")
+    else:
+        near = marked(
+            entries.withColumn("hash_", F.xxhash64("least")), bitmap(least.select(F.xxhash64("least").alias("hash_")))
+        ).where("maybe_")
+    near = near.select(
+        "rid", "doc_id", "n", "len", "least",
+        (F.col("least") == LAST).alias("last"),
+        "w",
+        F.explode(F.expr("sequence(start, stop - 1)")).alias("start"),
+    ).select(
+        "rid", "doc_id", "n", "len", "least", "last", "start", F.expr("concat_ws(' ', slice(w, start + 1, len))").alias("gram")
+    )
+    windows = bench.select("least", "gram", "items")
+    on = ["least", "gram"]
+    hits = near.join(F.broadcast(windows) if small else windows, on, "left").where("last or items is not null")
     spans = F.expr("if(items is null, null, named_struct('start', start, 'stop', start + len))")
     per = hits.groupBy("rid", "doc_id").agg(
         F.max("n").cast("bigint").alias("n_words"),
