@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from .common import body, table
 
 ROUNDS = 6
-#: Steps of cycle walking.  The grid has fewer than 2 * sqrt(n) + 1 cells beyond n.
+#: First steps of cycle walking.  The grid has fewer than 2 * sqrt(n) + 1 cells beyond n, so
+#: a row that needs more is all but unheard of; it walks on through as many as there can be.
 WALK = 64
+#: Rows alike are numbered in runs of so many at most.
+RUN = 65_536
 
 
 def _network(x: str, seed: int) -> str:
@@ -78,11 +81,12 @@ def shard(
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, row_number``.
     ``size`` is the UTF-8 bytes of the text plus 8; a null text has no bytes and the
     checksum of the empty text; a null id is a value like any other.  Rows alike in
-    id, size and checksum are interchangeable: they are counted before the shuffle
-    and take consecutive row numbers, so no group of repeats meets in one task.  An
-    empty table gives no rows.  Columns other than the id and the text are ignored.
+    id, size and checksum are interchangeable: they are counted before the shuffle,
+    and runs of ``RUN`` of them are numbered and unfolded in buckets of their own, so
+    no group of repeats meets in one task.  Texts of any length are only measured in
+    the scan.  An empty table gives no rows.  Columns other than the id and the text are ignored.
 
-    Row numbers follow (hash bucket, id, size, checksum), so they depend on the rows
+    Row numbers follow (hash bucket, id, size, checksum, run), so they depend on the rows
     alone, not on files, partitions or cluster.  ``buckets`` bounds both the rows of
     one window and the table of bucket totals.
     """
@@ -93,8 +97,13 @@ def shard(
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     key = ["doc_id", "size", "text_crc32"]
-    groups = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_"))
-    groups = groups.withColumn("bucket_", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+    groups = (
+        rows.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("all_"))
+        .withColumn("run_", F.explode(F.expr(f"sequence(0L, (all_ - 1) div {RUN})")))
+        .withColumn("n_", F.expr(f"least({RUN}L, all_ - run_ * {RUN})"))
+        .withColumn("bucket_", F.pmod(F.xxhash64(*key, "run_"), F.lit(buckets)))
+    )
     # At most ``buckets`` rows meet in the single task of these two windows.
     totals = groups.groupBy("bucket_").agg(F.sum("n_").alias("b_"))
     before = Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +114,7 @@ def shard(
     )
     inside = (
         Window.partitionBy("bucket_")
-        .orderBy(*key)
+        .orderBy(*key, "run_")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     numbered = (
@@ -118,17 +127,11 @@ def shard(
                                     "if((rows_ - 1) * (rows_ - 1) >= total_, rows_ - 1, rows_))"))
         .withColumn("cols_", F.expr("(total_ + rows_ - 1) div rows_"))
     )
-    placed = numbered.withColumn("p_", F.expr(_network("row_number", seed))).withColumn(
-        "p_",
-        F.expr(
-            f"if(p_ < total_, p_, aggregate(sequence(1, {WALK}), p_, "
-            f"(x, k) -> if(x < total_, x, {_network('x', seed)})))"
-        ),
-    )
-    place = F.when(F.col("p_") < F.col("total_"), F.col("p_")).otherwise(
-        F.raise_error(F.lit("cycle walking did not end; choose another seed")).cast("bigint")
-    )
-    return placed.withColumn("p_", place).select(
+    step = f"(x, k) -> if(x < total_, x, {_network('x', seed)})"
+    placed = numbered.withColumn("p_", F.expr(_network("row_number", seed)))
+    for most in (str(WALK), "rows_ + cols_"):
+        placed = placed.withColumn("p_", F.expr(f"if(p_ < total_, p_, aggregate(sequence(1L, {most}), p_, {step}))"))
+    return placed.select(
         *key,
         F.lit("rows").alias("law"),
         (F.col("p_") % F.lit(shards)).cast("int").alias("shard"),
