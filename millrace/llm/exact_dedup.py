@@ -107,6 +107,7 @@ def exact_dedup(
                 "group_size",
                 F.col("sha").alias("text_sha256"),
                 F.struct(F.lit(len(done)).alias("level"), "rid").alias("row_"),
+                F.struct(F.lit(len(done)).alias("level"), "gid").alias("group_"),
             )
         )
         active = settled.where("not finished")
@@ -121,12 +122,12 @@ def exact_dedup(
     top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     ties = materialize(
         out.where(top & (F.col("group_size") > 1))
-        .groupBy(F.col("doc_id").alias("of_"), F.col("text_sha256").alias("sha_"))
+        .groupBy(F.col("group_").alias("of_"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("row_").alias("first_"))
         .where("n > 1"),
         "radix-ties",
     )
-    met = F.col("doc_id").eqNullSafe(F.col("of_")) & (F.col("text_sha256") == F.col("sha_"))
+    met = top & (F.col("group_") == F.col("of_"))
     return out.join(ties, met, "left").select(
         "doc_id",
         "keep_id",
