@@ -35,6 +35,8 @@ BASE = 17
 BLOCKS = 128
 BLOCK_LEAST, BLOCK_MOST = 4096, 1 << 20
 SMALL = 256
+#: Blocks that a block is compared with in one group of tiles; it travels once for each group.
+ROW_OF_TILES = 8
 #: Shingles whose bits are counted at once.
 RUN = 65_536
 
@@ -178,23 +180,36 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         .agg(F.collect_list("fp").alias("fps")),
         "simhash-blocks",
     )
-    schema = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])
-    listed = spark.createDataFrame(pd.DataFrame(pairs.astype(np.int32), columns=["i", "j"]), schema)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pairs) // 4, 100_000))
+    # A row of tiles is dealt in groups: each begins with its own block, and the others follow.
+    groups, start = [], 0
+    for i, n in enumerate(np.bincount(pairs[:, 0], minlength=len(boxes)) if len(boxes) else []):
+        others = pairs[start : start + n, 1]
+        start += n
+        for c in range(0, n, ROW_OF_TILES):
+            group = others[c : c + ROW_OF_TILES]
+            head = np.array([[i, len(groups), -1]])
+            rest = np.stack([group, np.full(len(group), len(groups)), group], axis=1)
+            groups.append(np.concatenate([head, rest]))
+    dealt = np.concatenate(groups) if groups else np.zeros((0, 3), dtype=np.int64)
+    schema = T.StructType([T.StructField(k, T.IntegerType()) for k in ("block", "row", "j")])
+    listed = spark.createDataFrame(pd.DataFrame(dealt.astype(np.int32), columns=["block", "row", "j"]), schema)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(groups), 100_000))
     work = (
-        listed.join(blocks.select(F.col("block").alias("i"), F.col("fps").alias("left")), "i")
-        .join(blocks.select(F.col("block").alias("j"), F.col("fps").alias("right")), "j")
-        .select("i", "j", "left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
-        .repartition(tasks, "i", "j")
+        listed.join(blocks, "block")
+        .select("row", "block", "j", "fps")
+        .repartition(tasks, "row")
+        .sortWithinPartitions("row", "j")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, left = None, None
         for batch in batches:
-            for k in range(batch.num_rows):
-                left, right = (batch.column(c)[k] for c in (2, 3))
-                one = np.asarray(left.values).view(np.uint64)
-                two = np.asarray(right.values).view(np.uint64) if right.is_valid else None
-                a, b = compare(one, two, radius)
+            for block, j, fps in zip(*(batch.column(c) for c in (1, 2, 3)), strict=True):
+                found = np.asarray(fps.values).view(np.uint64)
+                if j.as_py() < 0:
+                    own, left = block.as_py(), found.copy()
+                    continue
+                a, b = compare(left, None if block.as_py() == own else found, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return work.mapInArrow(run, "a bigint, b bigint")
@@ -214,16 +229,21 @@ def near_groups(
     null) has fingerprint zero and is linked like any other.  Fingerprints link when
     they differ in ``radius`` bits at most; ``component_id`` is the smallest id
     reachable.  Repeated rows each give a row; a null id has its fingerprint's
-    component; other columns are ignored; an empty table gives no rows.
+    component; other columns are ignored; an empty table gives no rows.  A text of any
+    length is hashed whole, in time and memory in proportion to it.
     """
     fps = materialize(fingerprints(docs, words, id_col, text_col), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(near_links(distinct.select("fp"), radius))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    # Written out, so that a very large component or a very common fingerprint can be split
+    # in the joins: their sides must not come dealt by the key already.
+    rooted = materialize(
+        distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+            "fp", "least", F.coalesce("root", "fp").alias("root")
+        ),
+        "rooted",
     )
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # Written out, so that a very common fingerprint can be split in the last join.
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     groups = materialize(rooted.join(least, "root").select("fp", "component_id"), "components")
     return fps.join(groups, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
