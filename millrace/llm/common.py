@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.ship import ship as ship_package
 
 __all__ = [
-    "bitmap", "body", "forget", "fresh_path", "lower_ascii", "marked", "materialize", "shared_dir", "ship", "table",
-    "without",
+    "bitmap", "body", "forget", "forget_since", "fresh_path", "lower_ascii", "marked", "materialize", "shared_dir",
+    "ship", "table", "without", "written",
 ]
 
 #: Words of 64 bits in a bitmap: it has so many rows at most, about 8 MB.
@@ -60,14 +60,16 @@ def body(text: str) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a folder of our own
-    is made and registered.
+    Only where that is unset and the master is local (as in tests) a folder of our own
+    is made and registered: elsewhere executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jvm_dir.get() if jvm_dir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -78,6 +80,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables written by this process and not forgotten yet.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -89,16 +95,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a materialized table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+        _WRITTEN[:] = [p for p in _WRITTEN if p.rpartition("/")[2] != path.rpartition("/")[2]]
+
+
+def written() -> int:
+    """How many tables have been written so far; ``forget_since`` takes it."""
+    return len(_WRITTEN)
+
+
+def forget_since(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables written after ``mark``, all but ``keep``.
+
+    An operator's result reads the tables it wrote, so this is for results that have been
+    written out themselves.
+    """
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    for path in _WRITTEN[mark:]:
+        if path.rpartition("/")[2] not in kept:
+            _delete(spark, path)
+            _WRITTEN.remove(path)
 
 
 def bitmap(hashes: DataFrame) -> DataFrame:
