@@ -4,18 +4,18 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is wr
 Parquet and read again as the next stage's ``docs``.  All but the last return the columns
 of ``documents``; the last returns the packed pieces.
 
-The stages that drop rows name them by id and digest of the text, a null id being a value
-like any other, so rows that share an id but not a text are judged each by itself.
+A stage that compares rows first writes them out, each with a name of its own, and drops
+rows by that name.  So ids may repeat or be missing: every row is judged and kept or
+dropped by itself, with all its columns as they are.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.llm.common import bitmap, lower_ascii, marked, materialize, table
+from millrace.llm.common import forget_since, lower_ascii, materialize, table, without, written
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.exact_dedup import exact_dedup
 from millrace.llm.packing import pack
@@ -26,80 +26,69 @@ from millrace.llm.toxicity import THRESHOLD, filter_toxic, train
 ORACLE_SQL = None
 
 
-def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold, in one pass over the texts."""
-    return filter_toxic(docs, train(docs, table(spark, sf_dir, "labels")), THRESHOLD)
+def named(docs: DataFrame) -> DataFrame:
+    """``row_, tie_, rid_, text``, written out: whole rows with a name that no other row has.
 
+    ``tie_`` orders rows of one id by their text and then by their other columns, so that
+    which of them stays does not depend on how the table lies; ``rid_`` is the name.
+    """
 
-def sha() -> Column:
-    """Digest of a text; letter case A-Z is no matter, as in all comparisons of texts."""
-    return F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+    def hashable(kind: T.DataType) -> bool:
+        return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()
 
+    text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
+    rest = [F.col(f"`{f.name}`") for f in docs.schema if hashable(f.dataType)]
+    return materialize(
+        docs.select(
+            F.struct("*").alias("row_"),
+            F.struct(F.xxhash64(text).alias("text"), F.xxhash64(*rest).alias("all")).alias("tie_"),
+            F.monotonically_increasing_id().alias("rid_"),
+        ),
+        "named",
+    )
 
-def named(docs: DataFrame) -> DataFrame:
-    """``name_, text``: the name sorts by id, the missing ones last, and then by digest."""
-    name = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), sha().alias("sha"))
-    return docs.select(name.alias("name_"), "text")
 
+def judged(rows: DataFrame, *before: Column) -> DataFrame:
+    """``name_, text`` of named rows: names sort by ``before``, then the tie, then alone."""
+    fields = [c.alias(f"by{i}") for i, c in enumerate(before)]
+    return rows.select(F.struct(*fields, "tie_", "rid_").alias("name_"), F.col("row_.text").alias("text"))
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the rows named in ``gone``: ``gone_, digest_, again_``.
 
-    Where ``again_`` is set, one of the rows of that name stays.
-    """
-    lost = materialize(gone.distinct(), "dropped")
-    # As in ``without``: only rows whose id may be in the list are named and joined.
-    rows = docs.select(
-        F.struct("*").alias("row_"), F.col("doc_id").alias("key_"), F.xxhash64("doc_id").alias("hash_"), sha().alias("sha_")
-    )
-    rows = marked(rows, bitmap(lost.select(F.xxhash64("gone_").alias("hash_"))))
-    doubtful = rows.where("maybe_")
-    met = F.col("key_").eqNullSafe(F.col("gone_")) & (F.col("sha_") == F.col("digest_"))
-    kept = [rows.where("not maybe_"), doubtful.join(lost, met, "left_anti")]
-    again = lost.where("again_")
-    if not again.isEmpty():
-        kept.append(doubtful.join(again, met, "left_semi").dropDuplicates(["key_", "sha_"]))
-    return reduce(DataFrame.unionByName, [k.select("row_.*") for k in kept])
+def less(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The whole rows whose name is not in ``gone``."""
+    return without(rows, gone, "rid_").select("row_.*")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold, in one pass over the texts."""
+    return filter_toxic(docs, train(docs, table(spark, sf_dir, "labels")), THRESHOLD)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id.
+    """One row of each group of equal texts, the one with the largest id; a missing id is the least.
 
-    Rows are named by id and digest of the text that was compared, never by their place
-    in a scan.  Where a row to keep is repeated as it is, one of the repeats stays.
+    Where rows repeat that id, the one with the largest tie stays.
     """
-    gone = exact_dedup(docs).where("not kept")
-    return without_rows(
-        docs,
-        gone.select(
-            F.col("doc_id").alias("gone_"),
-            F.col("text_sha256").alias("digest_"),
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again_"),
-        ),
-    )
+    rows = named(docs)
+    found = exact_dedup(judged(rows, F.col("row_.doc_id")), id_col="name_")
+    return less(rows, found.where("not kept").select("doc_id.rid_"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id.
+    """One row of each near-duplicate group, the one with the smallest id; a missing id comes last.
 
-    A missing id comes after all others; where the smallest id is repeated, the text with
-    the smallest digest stays, and one row of it.
+    Where rows repeat that id, the one with the smallest tie stays.
     """
-    found = near_groups(named(docs), id_col="name_").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = F.col("doc_id") == F.col("component_id")
-    gone = found.where(~kept | (F.col("n") > 1))
-    return without_rows(
-        docs, gone.select(F.col("doc_id.id").alias("gone_"), F.col("doc_id.sha").alias("digest_"), kept.alias("again_"))
-    )
+    rows = named(docs)
+    found = near_groups(judged(rows, F.col("row_.doc_id").isNull(), F.col("row_.doc_id")), id_col="name_")
+    return less(rows, found.where("doc_id != component_id").select("doc_id.rid_"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
-    found = decontaminate(named(docs), table(spark, sf_dir, "benchmark"), id_col="name_").where("contaminated")
-    return without_rows(
-        docs,
-        found.select(F.col("doc_id.id").alias("gone_"), F.col("doc_id.sha").alias("digest_"), F.lit(False).alias("again_")),
-    )
+    """Rows that are not contaminated by the benchmark."""
+    rows = named(docs)
+    found = decontaminate(judged(rows), table(spark, sf_dir, "benchmark"), id_col="name_")
+    return less(rows, found.where("contaminated").select("doc_id.rid_"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -117,8 +106,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply all stages to ``documents``; each result is written and read again.
+
+    What a stage read and wrote for itself is deleted once its result is written.
+    """
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget_since(spark, mark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
