@@ -3,12 +3,13 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.licences import OTHERS, TEMPLATES, UNKNOWN, scan, train
 from millrace.llm.pii import find, luhn, personal_data, plain
-from millrace.llm.toxicity import fit, held_out, score, toxic_share, toxicity, votes
+from millrace.llm.toxicity import features, fit, hashed, held_out, risk, score, telling, toxic_share, toxicity, votes
 from millrace.llm.toxicity import train as train_toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -208,7 +209,8 @@ def test_toxic_prior_follows_all_documents(spark, make, every):
     truth = {i: int(i % (10 if i < 10_000 else every) == 0) for i, _ in known + others}
     own = labels.where(~held_out("doc_id")).withColumnRenamed("doc_id", "of")
     voted = votes(make(known + others), own, "doc_id", "text")
-    share = toxic_share(make(known + others), voted, ["vile", "awful", "nasty", "rotten"], "text")
+    names = [features(w)[0] for w in ("vile", "awful", "nasty", "rotten")]
+    share = toxic_share(make(known + others), voted, names, "text")
     assert abs(share - sum(truth.values()) / 1800) < 0.02
     found = sum(got[i] for i, y in truth.items() if y)
     assert found >= 0.8 * sum(truth.values()) and sum(got.values()) - found <= 9
@@ -256,6 +258,56 @@ def test_no_quota_on_texts_called_toxic():
     assert model.score("bad day") >= 0.7 > model.score("good day")
 
 
+def test_gradient_of_the_risk():
+    draw = np.random.default_rng(3)
+    row, col = draw.integers(0, 30, 90), draw.integers(0, 6, 90)
+    pos = np.arange(30) < 8
+    for prior, shift in ((0.2, 0.0), (0.9, 0.0), (0.5, -1.0), (0.95, 2.0)):
+        w, b = draw.normal(size=6), shift
+        value, gw, gb = risk(w, b, row, col, pos, prior)
+        z = np.bincount(row, weights=w[col], minlength=30) + b
+        hinge = np.log1p(np.exp(z))
+        negative = hinge[~pos].mean() - prior * hinge[pos].mean()
+        assert abs(value - (prior * np.log1p(np.exp(-z))[pos].mean() + negative if negative >= 0 else -negative)) < 1e-9
+        for k in range(6):
+            step = np.eye(6)[k] * 1e-6
+            slope = (risk(w + step, b, row, col, pos, prior)[0] - risk(w - step, b, row, col, pos, prior)[0]) / 2e-6
+            assert abs(slope - gw[k]) < 1e-5
+        slope = (risk(w, b + 1e-6, row, col, pos, prior)[0] - risk(w, b - 1e-6, row, col, pos, prior)[0]) / 2e-6
+        assert abs(slope - gb) < 1e-5
+
+
+def test_telling_features_against_brute_force():
+    rows = toxic_corpus(random.Random(5), 400, 4)
+    pos, un = [t for i, t in rows if i % 4 == 0], [t for _, t in rows]
+    names = telling([hashed(t) for t in pos], [hashed(t) for t in un])
+    every = {f for t in pos for w in t.split() for f in features(w)}
+    gain = {}
+    for f in every:
+        a, b = (sum(any(f in features(w) for w in t.split()) for t in ts) for ts in (pos, un))
+        e = len(pos) * (b + 1) / (len(un) + 2)
+        gain[f] = (a - e) / (e + 0.5) ** 0.5
+    bound = (2 * np.log(len(every))) ** 0.5
+    assert names == sorted((f for f, x in gain.items() if x >= bound), key=lambda f: (-gain[f], f))
+    assert {features(w)[0] for w in ("vile", "awful", "nasty", "rotten")} <= set(names)
+
+
+def test_toxicity_query_against_brute_force(spark, make):
+    """Scores of the query are the sums of the model's weights, whatever the layout."""
+    rows = toxic_corpus(random.Random(4), 400, 5) + [(7, "vile awful c1"), (7, "c1 c2"), (8, None), (None, "nasty c3 vile")]
+    labels = [(i, int(i % 5 == 0)) for i, _ in rows[:400:2]] + [(7, 1), (7, 0)]
+    table = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = train_toxicity(make(rows), table)
+    want = []
+    for i, t in rows:
+        z = model.bias + sum(model.weights.get(f, 0.0) for w in set((t or "").lower().split()) for f in features(w))
+        want.append((str(i), round(1 / (1 + np.exp(-z)), 9)))
+    for parts in (1, 3, 7):
+        got = toxicity(make(rows, partitions=parts), table.repartition(parts)).collect()
+        assert sorted((str(r.doc_id), round(r.score, 9)) for r in got) == sorted(want)
+        assert all(r.predicted == int(r.score >= 0.7) for r in got)
+
+
 def test_score_sees_texts_only(spark, make):
     model = fit(["bad one"] * 10, ["good"] * 50, 0.1)
     a = score(make([(1, "bad"), (4, "bad")]), model).collect()
