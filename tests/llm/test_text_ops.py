@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from millrace.llm.decontamination import decontaminate
-from millrace.llm.licences import OTHERS, TEMPLATES, UNKNOWN, scan, train
+from millrace.llm.licences import OTHERS, TEMPLATES, UNKNOWN, examples, held_out_logits, least_confidence, prose_sample, scan, train
 from millrace.llm.pii import find, luhn, personal_data, plain
 from millrace.llm.toxicity import features, fit, hashed, held_out, risk, score, telling, toxic_share, toxicity, votes
 from millrace.llm.toxicity import train as train_toxicity
@@ -323,14 +323,14 @@ def licence_model():
 
 
 def test_licences(make, licence_model, odd_rows):
-    rows = [(100 + i, f"Some prose here.\n{t.upper()}.\nMore prose.") for i, t in enumerate(t for ts in TEMPLATES.values() for t in ts)]
-    families = {100 + i: f for i, f in enumerate(f for f, ts in TEMPLATES.items() for _ in ts)}
-    rows += [(500 + i, t) for i, t in enumerate(OTHERS)]
+    said = [(f, t) for f, t in TEMPLATES if len(t.split()) > 2]
+    rows = [(100 + i, f"Some prose here.\n{t.upper()}.\nMore prose.") for i, (_, t) in enumerate(said)]
+    rows += [(500 + i, f"Licensed under the {t}.") for i, t in enumerate(OTHERS)]
     got = {r.doc_id: r for r in scan(make([*odd_rows, *rows]), licence_model).collect()}
-    right = sum(got[i].families == f for i, f in families.items())
-    assert right >= 0.9 * len(families)
-    assert all(got[i].confirmed == got[i].families for i in families if got[i].families)
-    assert sum(got[500 + i].n_unknown for i in range(len(OTHERS))) >= 0.7 * len(OTHERS)
+    right = sum(got[100 + i].families == f for i, (f, _) in enumerate(said))
+    assert right >= 0.95 * len(said)
+    assert all(got[100 + i].confirmed == got[100 + i].families for i in range(len(said)))
+    assert sum(got[500 + i].n_unknown for i in range(len(OTHERS))) >= 0.9 * len(OTHERS)
     assert got[102].n_paragraphs == 3
     for i in (1, 2, 3):
         assert (got[i].n_paragraphs, got[i].n_licence, got[i].families) == (0, 0, "")
@@ -338,6 +338,76 @@ def test_licences(make, licence_model, odd_rows):
     assert scan(make(odd_rows), licence_model).count() == len(odd_rows)
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated "
+    'documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation',
+    "gpl": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU "
+    "General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided "
+    "that the following conditions are\n# met:",
+    "apache": ' * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in '
+    "compliance\n * with the License.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser "
+    "General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License",
+    "agpl": "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU Affero "
+    "General Public License as published by the\nFree Software Foundation",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is "
+    "hereby granted, provided that the above",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+}
+
+
+def test_wrapped_licences_are_one_paragraph(make, licence_model):
+    rows = [(i, f"Prose before.\n\n{t}\n\nProse after.") for i, t in enumerate(WRAPPED.values())]
+    got = {r.doc_id: r for r in scan(make(rows), licence_model).collect()}
+    for i, family in enumerate(WRAPPED):
+        assert (got[i].families, got[i].confirmed) == (family, family), family
+
+
+def test_confidence_holds_on_wording_that_was_not_trained_on():
+    draw = random.Random(8)
+    prose = [[draw.choice([f"c{i}" for i in range(300)]) for _ in range(30)] for _ in range(300)]
+    data, classes, _ = examples(prose, 16, 5)
+    z = held_out_logits(data, len(classes), 60)
+    y, n = np.array([e.label for e in data]), len(classes)
+    probs = np.exp(z - z.max(axis=1, keepdims=True))
+    probs /= probs.sum(axis=1, keepdims=True)
+    c = least_confidence(probs, y)
+    sure = (probs.argmax(axis=1) < n - 2) & (probs.max(axis=1) >= c)
+    assert (probs.argmax(axis=1) == y)[sure].mean() >= 0.98 and sure[y < n - 2].mean() >= 0.8
+
+
+def test_confirmed_against_brute_force(make, licence_model):
+    draw = random.Random(11)
+    rows = []
+    for i in range(120):
+        _, t = draw.choice(TEMPLATES)
+        w = t.split()
+        for _ in range(draw.choice([0, 0, 1, 2, 5])):
+            w[draw.randrange(len(w))] = f"q{draw.randrange(9)}"
+        rows.append((i, "Licensed " * draw.randint(0, 1) + " ".join(w) + draw.choice(["", " mit license", " the gpl"])))
+    got = {r.doc_id: r for r in scan(make(rows), licence_model).collect()}
+    for i, text in rows:
+        w = words(text)
+        found = {" ".join(w[a : a + n]) for n in (1, 2, 3) for a in range(len(w))}
+        want = set()
+        for family, t in TEMPLATES:
+            parts = t.split()
+            shingles = {" ".join(parts[a : a + 3]) for a in range(max(len(parts) - 2, 1))}
+            if family == got[i].families and len(shingles & found) >= 0.8 * len(shingles):
+                want.add(family)
+        assert got[i].confirmed == ",".join(sorted(want)), text
+
+
+def test_prose_sample(make, odd_rows):
+    assert prose_sample(make([])) == [] and prose_sample(make([(None, "a"), (None, None)])) == []
+    assert prose_sample(make([(1, None), (2, "")])) == [[], []]
+    copies = make([(1, f"text {i}") for i in range(50)] + [(2, "x y"), (3, "w " * 1000)])
+    found = prose_sample(copies, most=3)
+    assert len(found) == 3 and max(map(len, found)) == 300
+    assert train([]).classes[-1] == "none"
+
+
 def test_licence_scores_equal_the_model(make, licence_model):
     texts = ["she studied physics at mit before moving abroad", "released under the mit license", "all rights reserved by us",
              "licensed under the eclipse public license version 1 0", "plain words of prose", "license"]
