@@ -11,6 +11,7 @@ reported only where no plain finding of its kind lies.
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 import string
 import unicodedata
@@ -38,11 +39,16 @@ PATTERNS = {
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y",
     "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d",
+    "ӏ": "l", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ɡ": "g", "ѡ": "w",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H",
     "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I",
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "Α": "A",
-    "Β": "B", "Ε": "E", "Ο": "O", "ı": "i", "․": ".", "。": ".",
-    "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " ", " ": " ",
+    "У": "Y", "Ѕ": "S", "Ј": "J", "Ӏ": "I", "Ԍ": "G", "Ԛ": "Q",
+    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k",
+    "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "ϳ": "j",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
+    "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
+    "Υ": "Y", "Χ": "X", "ı": "i", "․": ".", "。": ".", "‐": "-",
+    "‑": "-", "‒": "-", "–": "-", "\u00a0": " ", "\u202f": " ",
 }
 DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
@@ -54,45 +60,59 @@ DIGIT_WORDS = {
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5",
     "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
 }
-# Ends of host names that are no common words.  Only these follow a bare "dot".
-ENDINGS = (
+# Ends of host names that are no common words.  Only these follow a bare "at".
+ENDINGS = frozenset(
     "com org net edu gov mil int info biz io co ai app dev example test invalid local localhost uk de fr es eu ch nl "
-    "se pl br ru cn jp ca au nz mx ar kr dk fi pt cz gr hu ie za tv cc xyz online"
-).split()
+    "se pl br ru cn jp ca au nz mx ar kr dk fi pt cz gr hu ie za tv cc xyz online site shop store cloud tech blog "
+    "tw hk sg il tr ua ro bg hr lt lv ee sk si rs cl pe ve ec uy th vn ph my id ng ke eg ma pk bd lk ir sa ae qa".split()
+)
 
 #: Characters without width that may be put inside an identifier.
 UNSEEN = frozenset("\u200b\u200c\u200d\u2060\ufeff\u00ad")
-#: What the first transducer rewrites: the above, full-width and styled forms, digits of any script.
+#: What the first transducer rewrites: the above, full-width and styled forms, digits of any
+#: script, and ASCII characters written as entities of a page or of an address.
 ODD = re.compile(
     "[" + "".join(LOOKALIKES) + "".join(UNSEEN)
     + "\uff01-\uff5e\u2070-\u2089\u2460-\u2468\u24b6-\u24e9\U0001d400-\U0001d7ff]|[^\\x00-\\x7f\\D]"
 )
+ENTITY = re.compile(r"&(?:#[0-9]{2,3}|#[xX][0-9a-fA-F]{2}|commat|period|lowbar|plus|hyphen);|%40|%2[eE]")
+
+#: An address or number whose characters stand apart, with one blank between any two.
+SPACED = re.compile(r"(?<!\S)[A-Za-z0-9@._%+-](?: [A-Za-z0-9@._%+-](?!\S))++")
 
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: Runs of spelled digits, at least four tokens with digits and signs between them.
+_POINT = "dot|point|punto|punkt"
+#: Runs of spelled digits, with digits and signs between them.
+_TOKEN = rf"(?:{_WORD}|plus|[0-9]+)(?!\w)"
 SPELLED = re.compile(
-    rf"(?i)(?<!\w)(?:(?:{_WORD}|plus|[0-9]+)(?:[ \-.,]{{1,3}}|(?:[ \-,]{{1,3}}(?:dot|point|punto|punkt)[ \-,]{{1,3}})))"
-    rf"{{3,}}(?:{_WORD}|[0-9]+)(?!\w)"
+    rf"(?i)(?<!\w)\(?{_TOKEN}(?:(?:[ \-.,()]{{1,3}}|[ \-,]{{1,3}}(?:{_POINT})[ \-,]{{1,3}}){_TOKEN})++"
+)
+SPELLED_TOKEN = re.compile(rf"(?i){_WORD}|plus|{_POINT}|[0-9]+|[^a-z0-9]")
+#: Two of them in a row; looked for in lower case, after a sign or a blank.
+SPELLED_HINT = re.compile(rf"\W(?:{_WORD}|plus)[ \-.,()]{{1,3}}(?:{_WORD}|{_POINT}|[(0-9])")
+#: Digits among which letters stand for some: O and o for 0, l and I for 1.
+LETTERED = re.compile(
+    r"(?<![A-Za-z0-9])\+?[0-9OolI]++(?![A-Za-z0-9])(?:[ ().-]{1,2}[0-9OolI]++(?![A-Za-z0-9]))*+"
 )
-SPELLED_TOKEN = re.compile(rf"(?i){_WORD}|plus|dot|point|punto|punkt|[0-9]+|[^a-z0-9]")
-_SIGN, _LABEL, _OPEN, _SHUT = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]{1,63}", r"[ \t]{0,2}[\[({<]\s{0,2}", r"\s{0,2}[\])}>][ \t]{0,2}"
-_ATS, _DOTS = "at|arroba|arobase", "dot|punto|point|punkt"
-AT = rf"(?:{_OPEN}(?:{_ATS}|@){_SHUT}|[ \t]?[-_*](?:{_ATS})[-_*][ \t]?)"
-DOT = rf"(?:{_OPEN}(?:{_DOTS}|\.){_SHUT}|[ \t]?[-_*](?:{_DOTS})[-_*][ \t]?)"
-BARE_AT, BARE_DOT = rf"[ \t]{{1,2}}(?:{_ATS})[ \t]{{1,2}}", rf"[ \t]{{1,2}}(?:{_DOTS}|\.)[ \t]{{1,2}}"
-_NAME = rf"(?<!{_SIGN}){_SIGN}{{1,64}}?(?:(?:{DOT}|{BARE_DOT}){_SIGN}{{1,64}}?){{0,6}}"
-_END = rf"(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9])"
-#: A disguised address: bracketed signs may stand beside plain ones; the bare word "at"
-#: counts only with a disguised dot and a known ending, as prose has such words too.
-DISGUISED = re.compile(
-    rf"(?i)(?:{_NAME}(?P<at>{AT}){_LABEL}?(?:(?:\.|{DOT}|{BARE_DOT}){_LABEL}){{1,6}})"
-    rf"|(?:{_NAME}(?P<bare>{BARE_AT}|[ \t]{{0,2}}@[ \t]{{0,2}})"
-    rf"{_LABEL}?(?:(?:\.|{DOT}|{BARE_DOT}){_LABEL}?){{0,6}}(?:\.|{DOT}|{BARE_DOT}){_END}(?:(?:\.|{DOT}|{BARE_DOT}){_END})?)"
+LETTERED_HINT = re.compile(
+    r"[0-9](?:(?=[ ().-]{0,2}[OolI])|(?<=[OolI][0-9])|(?<=[OolI][ ().-][0-9])|(?<=[OolI][ ().-]{2}[0-9]))"
 )
-DOT_FORM = re.compile(rf"(?i){DOT}|{BARE_DOT}")
-#: Every disguised address or dotted number has one of these.
-SIGN_HINT = re.compile(rf"(?i)[\[({{<]\s{{0,2}}(?:{_ATS}|@|{_DOTS}|\.)\s{{0,2}}[\])}}>]|[ \t](?:{_DOTS})[ \t]|[-_*](?:{_ATS}|{_DOTS})[-_*]|[ \t]@|@[ \t]")
-DOTTED_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{DOT}|{BARE_DOT})[0-9]{{1,3}}){{3}}(?![0-9.])")
+LETTERS = str.maketrans("OolI", "0011")
+_ATS = "at|arroba|arobase"
+# The patterns of signs are for text in lower case, and each begins with something rare.
+#: The dot in brackets, between signs, as a word, and between blanks before an ending or a number.
+DOT = re.compile(
+    rf"[\[({{<]\s{{0,2}}(?:{_POINT}|\.)\s{{0,2}}[\])}}>]|(?<=[-_*])(?:{_POINT})(?=[-_*])|(?<=[ \t])(?:{_POINT})(?=[ \t])"
+    rf"|\.(?<=[ \t]\.)(?=[ \t]{{1,2}}(?:[0-9]|(?:{'|'.join(sorted(ENDINGS))})(?![a-z0-9])))"
+)
+#: The at-sign in brackets or between signs, which is one wherever it stands.
+AT = re.compile(
+    rf"[\[({{<]\s{{0,2}}(?:{_ATS}|@)\s{{0,2}}[\])}}>]|(?<=[-_*])(?:{_ATS})(?=[-_*])|\((?<=\S\()(?:a|ä)\)(?=\S)"
+)
+#: The bare word or sign, which counts only before a domain with a known ending; prose has
+#: such words too, so the word also needs a disguised dot.
+BARE_AT = re.compile(rf"(?<=\S)[ \t]{{1,2}}(?:{_ATS}|@)[ \t]{{1,2}}|(?<=\S)[ \t]{{1,2}}@|(?<=\S)@[ \t]{{1,2}}")
+POINTS = tuple(_POINT.split("|"))
 
 
 def luhn(digits: str) -> bool:
@@ -173,6 +193,12 @@ def _ascii(c: str) -> str:
     return plain_form if len(plain_form) == 1 and plain_form.isascii() else c
 
 
+def _entity(found: str) -> str:
+    new = chr(int(found[1:], 16)) if found[0] == "%" else html.unescape(found)
+    new = "-" if found == "&hyphen;" else new
+    return new if len(new) == 1 and " " < new <= "~" else found
+
+
 def _spelled(run: str) -> str:
     """A run of spelled digits in digits; signs between them stay, blanks go."""
     out = []
@@ -182,40 +208,85 @@ def _spelled(run: str) -> str:
             out.append(DIGIT_WORDS[t])
         elif t == "plus":
             out.append("+")
-        elif t in ("dot", "point", "punto", "punkt"):
+        elif t in POINTS:
             out.append(".")
         elif t.isdigit():
             out.append(t)
         else:
-            out.append("".join(c for c in t if c in ".-"))
+            out.append("".join(c for c in t if c in ".-()"))
     return "".join(out)
 
 
+def _lettered(run: str) -> str:
+    """Digits for the letters of a run that is digits for the most part."""
+    letters = sum(c in "OolI" for c in run)
+    return run.translate(LETTERS) if 0 < letters <= sum(c.isdigit() for c in run) else run
+
+
+def _replaced(pattern: re.Pattern, text: str, new) -> list[tuple[int, int, str]]:
+    edits = ((m.start(), m.end(), new(m[0])) for m in pattern.finditer(text))
+    return [e for e in edits if e[2] != text[e[0] : e[1]]]
+
+
+def _lower(text: str) -> str:
+    """In lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _signs(pattern: re.Pattern, text: str, new: str) -> list[tuple[int, int, str]]:
+    """Signs that ``pattern`` finds, with the dashes and up to two blanks around them."""
+    edits, done = [], 0
+    for m in pattern.finditer(_lower(text)):
+        a, b = m.span()
+        if m[0][0].isalpha() and text[a - 1] in "-_*":
+            a, b = a - 1, b + 1
+        for _ in range(2):
+            a -= a > done and text[a - 1] in " \t"
+            b += b < len(text) and text[b] in " \t"
+        if a >= done and text[a:b] != new:
+            edits.append((a, b, new))
+            done = b
+    return edits
+
+
+def _bare_ats(tape: Tape, source: str) -> Iterator[tuple[int, int, str]]:
+    text = tape.text
+    for m in BARE_AT.finditer(_lower(text)):
+        if text[m.start() - 1] not in LOCAL or not (domain := DOMAIN.match(text, m.end())):
+            continue
+        ends = domain[0].lower().split(".")[1:]
+        if not ENDINGS.intersection(ends):
+            continue
+        dots = (i for i in range(domain.start(), domain.end()) if text[i] == ".")
+        if "@" in m[0] or any(source[tape.start[i] : tape.end[i]] != "." for i in dots):
+            yield m.start(), m.end(), "@"
+
+
 def disguised(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Identifiers that only show after rewriting and meet no known one of their kind."""
-    odd = [] if text.isascii() else [(m.start(), m.end(), _ascii(m[0])) for m in ODD.finditer(text)]
-    if not odd and not SPELLED.search(text) and not SIGN_HINT.search(text):
-        return []
-    tape, spans = Tape(text), []
-    tape.rewrite(odd)
-    runs = [(m.start(), m.end(), m[0]) for m in SPELLED.finditer(tape.text)]
-    tape.rewrite([(a, b, _spelled(run)) for a, b, run in runs if run.upper() != run.lower()])
-    if not odd and not runs and not SIGN_HINT.search(text):
-        return []
-    edits = []
-    signs = SIGN_HINT.search(tape.text) is not None
-    found = list(DISGUISED.finditer(tape.text)) if signs else []
-    for m in found:
-        a, b = m.span("at" if m["at"] else "bare")
-        edits.append((a, b, "@"))
-        for low, high in ((m.start(), a), (b, m.end())):
-            edits += [(x.start() + low, x.end() + low, ".") for x in DOT_FORM.finditer(tape.text[low:high])]
-    for m in DOTTED_IP.finditer(tape.text) if signs else ():
-        if not any(x.start() < m.end() and m.start() < x.end() for x in found):
-            edits += [(x.start() + m.start(), x.end() + m.start(), ".") for x in DOT_FORM.finditer(m[0])]
-    tape.rewrite(sorted(e for e in edits if e[2] != tape.text[e[0] : e[1]]))
+    """Identifiers that only show after rewriting and meet no known one of their kind.
+
+    Each transducer reads what the one before it wrote, and every pattern takes time in
+    proportion to the text.
+    """
+    tape = Tape(text)
+    if not text.isascii():
+        tape.rewrite(_replaced(ODD, tape.text, _ascii))
+    if "&" in tape.text or "%" in tape.text:
+        tape.rewrite(_replaced(ENTITY, tape.text, _entity))
+    if "@" in tape.text or " a t " in tape.text:
+        tape.rewrite(_replaced(SPACED, tape.text, lambda x: x.replace(" ", "") if "@" in x and len(x) > 8 else x))
+    if SPELLED_HINT.search("\n" + tape.text.lower()):
+        tape.rewrite(_replaced(SPELLED, tape.text, lambda x: _spelled(x) if x.upper() != x.lower() else x))
+    if LETTERED_HINT.search(tape.text):
+        tape.rewrite(_replaced(LETTERED, tape.text, _lettered))
+    tape.rewrite(_signs(DOT, tape.text, "."))
+    tape.rewrite(_signs(AT, tape.text, "@"))
+    if "@" in tape.text or tape.text != text:  # a bare word needs a disguised dot
+        tape.rewrite(list(_bare_ats(tape, text)))
     if tape.text == text:
         return []
+    spans = []
     for a, b, kind in plain(tape.text):
         start, end = tape.source(a, b)
         if text[start:end] != tape.text[a:b] and not any(
@@ -241,7 +312,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The counts and the digest are of plain identifiers, ``spans`` lists all, as
     kind:start:end in code points with the end exclusive, by start and then kind.  A null
-    or empty text has none; repeated rows each give a row; other columns are ignored; an
+    or empty text has none; a very long one is read whole, in time in proportion to it;
+    repeated rows each give a row; other columns are ignored; an
     empty table gives no rows.  One pass over whole texts, no shuffle.
     """
     ship(docs.sparkSession)
