@@ -1,14 +1,17 @@
 """WARC archives: a deterministic sharded writer, and the reader for its files.
 
-Records are dealt into shards by ranges of the page id, whose bounds come from a
-sample by hash and so do not depend on how the table lies.  Within a shard they are
-sorted, each is its own gzip member, and a file is closed when it has reached its
-compressed size.  Headers, ids and digests are made anew from the content; nothing in a
-file depends on time or machine.  A task writes under a temporary name and renames;
-the manifest, written last, lists the files that count.
+Records are dealt into shards by ranges of (page id, payload digest, url), each of about
+the same bytes; the bounds follow from the rows alone, not from files, partitions or
+cluster.  Within a shard records are sorted, each is its own gzip member, and a file is
+closed when it has reached its compressed size.  Headers, ids and digests are made anew
+from the content; nothing in a file depends on time or machine.  A task writes under a
+temporary name and renames; the manifest, renamed into the folder last, lists the files
+that count, and a folder without one is no archive.
 
 Repeated payloads are found on digests alone.  What that decides travels to the
-records as narrow rows of the same sort order, so payloads are shuffled once.
+records as narrow rows of the same sort order, so payloads are shuffled once.  A row
+that is repeated beyond a shard's bytes travels once, with its count, and its records
+are made in runs that have shards of their own.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import forget, fresh_path, materialize, ship, table
@@ -30,9 +34,13 @@ from .common import forget, fresh_path, materialize, ship, table
 #: Payloads of fewer bytes are always written out.
 LEAST_REVISIT = 1000
 ROLL_BYTES = 256 << 20
-SHARD_BYTES = 32 << 20
-#: Page ids in the sample that shard bounds are taken from.
-SAMPLE = 10_000
+#: Bytes of a shard; beyond the most shards, whose bounds are broadcast, they grow instead.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 100_000
+#: Bytes that a record is taken to have beside its payload.
+RECORD = 512
+#: Records of a repeated row that are made at once.
+RUN = 65_536
+MANIFEST = "manifest.parquet"
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,8 +53,8 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "/", 1))
 
 
-def record_id(page: object, digest: str, repeat: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page}:{digest}:{repeat}')}>"
+def record_id(page: object, digest: str, url: str | None, repeat: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page}:{digest}:{repeat}:{url}')}>"
 
 
 def _b32(hexdigest: str) -> str:
@@ -72,7 +80,7 @@ def response(page, url: str | None, payload: bytes, digest: str, repeat: int = 0
     )
     fields = [
         ("WARC-Type", "response"),
-        ("WARC-Record-ID", record_id(page, digest, repeat)),
+        ("WARC-Record-ID", record_id(page, digest, url, repeat)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _uri(url, page)),
         ("WARC-Block-Digest", _b32(hashlib.sha1(block).hexdigest())),
@@ -83,15 +91,15 @@ def response(page, url: str | None, payload: bytes, digest: str, repeat: int = 0
     return _member(fields + ([("X-Page-Id", str(page))] if page is not None else []), block)
 
 
-def revisit(page, url: str | None, size: int, digest: str, repeat: int, target) -> bytes:
+def revisit(page, url: str | None, size: int, digest: str, repeat: int, target, target_url: str | None) -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     fields = [
         ("WARC-Type", "revisit"),
-        ("WARC-Record-ID", record_id(page, digest, repeat)),
+        ("WARC-Record-ID", record_id(page, digest, url, repeat)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _uri(url, page)),
         ("WARC-Profile", PROFILE),
-        ("WARC-Refers-To", record_id(target, digest, 0)),
+        ("WARC-Refers-To", record_id(target, digest, target_url, 0)),
         ("WARC-Block-Digest", _b32(hashlib.sha1(block).hexdigest())),
         ("WARC-Payload-Digest", _b32(digest)),
         ("Content-Type", "application/http; msgtype=response"),
@@ -150,17 +158,60 @@ class _Files:
         if self.out is None:
             return
         self.out.close()
-        self.fs.move(self.temp, posixpath.join(self.top, self.name))
+        target = posixpath.join(self.top, self.name)
+        if self.fs.get_file_info(target).is_file:  # of a lost attempt, with the same bytes
+            self.fs.delete_file(target)
+        self.fs.move(self.temp, target)
         self.done.append((self.name, self.count, self.size, self.hash.hexdigest()))
         self.out = None
 
 
-def _bounds(ids: DataFrame, shards: int) -> list[int]:
-    """Quantiles of a sample of bounded size: the ids with the least hashes."""
-    hashed = F.xxhash64("page_id", F.lit(5))
-    some = ids.where("page_id is not null").select("page_id").orderBy(hashed, "page_id").limit(SAMPLE)
-    found = sorted(r["page_id"] for r in some.collect())
-    return sorted({found[i * len(found) // shards] for i in range(1, shards)}) if found else []
+def _bounds(narrow: DataFrame, per: int) -> DataFrame:
+    """One row, ``bounds``: the first key of each shard of ``per`` bytes but the first.
+
+    Keys are ranked exactly: running sums within sorted parts, and the sums of the parts
+    before.  The order is total, so how it is cut into parts makes no difference.
+    """
+    parts = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = materialize(
+        narrow.select(*KEY, (F.col("size") + RECORD).alias("bytes"))
+        .repartitionByRange(parts, *KEY)
+        .withColumn("part", F.spark_partition_id()),
+        "warc-order",
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each part.
+    starts = ordered.groupBy("part").agg(F.sum("bytes").alias("bytes"))
+    starts = starts.select(F.col("part").alias("of"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ordered.withColumn("in_", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(
+        F.broadcast(starts), F.col("part") == F.col("of")
+    )
+    firsts = ranked.groupBy(((F.col("start") + F.col("in_")) / per).cast("bigint").alias("shard")).agg(
+        F.min(F.struct(*KEY)).alias("key")
+    )
+    return firsts.where("shard > 0").agg(F.array_sort(F.collect_list("key")).alias("bounds"))
+
+
+#: What a record is sorted and named by; ``uh`` is a hash of the url.
+KEY = ["page_id", "strong", "uh"]
+_STEP = (
+    "if(s.lo < s.hi, if(get(bounds, cast((s.lo + s.hi) div 2 as int)) <= key_, "
+    "named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi), "
+    "named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2)), s)"
+)
+
+
+def _dealt(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``rows`` with ``shard``, how many bounds their key is not below; ``bounds`` is one row."""
+    steps = f"array_repeat(0, {MOST_SHARDS.bit_length() + 1})"
+    place = f"aggregate({steps}, named_struct('lo', 0L, 'hi', cast(size(bounds) as bigint)), (s, i) -> {_STEP}, s -> s.lo)"
+    return (
+        rows.join(F.broadcast(bounds))
+        .withColumn("key_", F.struct(*KEY))
+        .withColumn("shard", F.expr(place).cast("int"))
+        .drop("key_", "bounds")
+    )
 
 
 def write_archives(
@@ -176,9 +227,10 @@ def write_archives(
     """Write a record for each row and return the manifest: ``file, records, bytes, sha256``.
 
     Ids are integers.  A null html is an empty payload; payloads are equal when their
-    SHA-1 and length are.  Of rows with equal payloads of ``least_revisit`` bytes or more
-    the one with the largest id is the response; among repeats of that row the first is.
-    A null id is the least.  Other columns are ignored; an empty table gives an empty
+    SHA-256 and length are.  Of rows with equal payloads of ``least_revisit`` bytes or more
+    the one with the largest id, and then url, is the response; among repeats of that row
+    the first is.  A null id or url is the least.  A payload of any length is one record,
+    which its task holds whole.  Other columns are ignored; an empty table gives an empty
     manifest.
     """
     spark = pages.sparkSession
@@ -187,66 +239,88 @@ def write_archives(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("digest", F.sha1("payload"))
-    narrow = materialize(
-        rows.select("page_id", "digest", F.octet_length("payload").cast("bigint").alias("size")), "warc-digests"
-    )
-    n, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    shards = max(1, min(int(total // shard_bytes), n, 100_000), min(n, 4 * spark.sparkContext.defaultParallelism))
-    bounds = _bounds(narrow, shards)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(bounds) + 1)
-
+    ).select("*", F.sha2("payload", 256).alias("strong"), F.xxhash64("url").alias("uh"))
+    size = F.octet_length("payload").cast("bigint")
+    narrow = materialize(rows.select(*KEY, "url", size.alias("size")), "warc-digests")
+    total = narrow.agg(F.coalesce(F.sum(F.col("size") + RECORD), F.lit(0))).first()[0]
+    shards = max(1, min(-(-total // shard_bytes), MOST_SHARDS))
+    per = -(-total // shards) or 1
+
+    same = ["strong", "size"]
     repeated = materialize(
         narrow.where(F.col("size") >= least_revisit)
-        .groupBy("digest", "size")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("winner"))
+        .groupBy(*same)
+        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "url")).alias("winner"))
         .where("n > 1")
-        .select(F.col("digest").alias("of"), F.col("size").alias("long"), "winner"),
+        .select(*same, "winner"),
         "warc-repeated",
     )
-    notes = (
-        narrow.join(repeated, (F.col("digest") == F.col("of")) & (F.col("size") == F.col("long")))
-        .select("page_id", "digest", "winner")
-        .distinct()
-    )
-    steps = ", ".join("0" for _ in range(len(bounds).bit_length() + 1))
-    values = ", ".join(f"{b}L" for b in bounds)
-    shard = F.expr(
-        f"aggregate(array({steps}), named_struct('lo', 0, 'hi', {len(bounds)}), (s, i) -> if(s.lo < s.hi, "
-        f"if(get(array({values}), cast((s.lo + s.hi) div 2 as int)) <= page_id, "
-        f"named_struct('lo', cast((s.lo + s.hi) div 2 as int) + 1, 'hi', s.hi), "
-        f"named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) div 2 as int))), s), s -> s.lo)"
-        if bounds
-        else "0"
+    # Rows repeated as they are beyond a shard's bytes: fewer than there are shards.
+    whole = [*KEY, "url", "size"]
+    hot = materialize(
+        narrow.groupBy(*whole).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * (F.col("size") + RECORD) > per)
+        .where("n > 1").join(repeated, same, "left")
+        .select(*[F.col(k).alias(f"hot_{k}") for k in (*KEY, "url", "n", "winner")]),
+        "warc-hot",
+    )
+    runs = hot.agg(F.coalesce(F.sum(F.expr(f"(hot_n - 1) div {RUN} + 1")), F.lit(0))).first()[0]
+    of_hot = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in (*KEY, "url")])
+    cold, cold_narrow = rows, narrow
+    if runs:
+        cold = rows.join(F.broadcast(hot), of_hot, "left_anti")
+        cold_narrow = narrow.join(F.broadcast(hot), of_hot, "left_anti")
+    bounds = materialize(_bounds(cold_narrow, per), "warc-bounds")
+
+    notes = cold_narrow.join(repeated, same).select(*KEY, "url", "winner").distinct()
+    no = {
+        "kind": F.lit(1), "winner": F.lit(None).cast(repeated.schema["winner"].dataType), "digest": F.lit(None).cast("string"),
+        "size": F.lit(0).cast("bigint"), "payload": F.lit(None).cast("binary"), "first": F.lit(-1).cast("bigint"),
+        "copies": F.lit(1).cast("bigint"),
+    }
+
+    def record(df: DataFrame, **given) -> DataFrame:
+        return df.select(*KEY, "url", *[given.get(k, v).alias(k) for k, v in no.items()], *(["shard"] if "shard" in df.columns else []))
+
+    sha1 = F.sha1("payload")
+    dealt = _dealt(
+        record(cold, digest=sha1, size=size, payload=F.col("payload")).unionByName(
+            record(notes, kind=F.lit(0), winner=F.col("winner"))
+        ),
+        bounds,
     )
-    dealt = (
-        rows.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("winner"), "url", "payload")
-        .unionByName(
-            notes.select("page_id", "digest", F.lit(0).alias("kind"), "winner",
-                         F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    if runs:
+        once = (
+            rows.join(F.broadcast(hot), of_hot)
+            .groupBy(*KEY, "url")
+            .agg(F.first("payload").alias("payload"), F.first("hot_n").alias("n"), F.first("hot_winner").alias("winner"))
         )
-        .withColumn("shard", shard)
-        .repartition(parts, "shard")
-        .sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
-    )
+        run = once.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})")))
+        run = run.withColumn("shard", (F.lit(len_(bounds)) + F.pmod(F.xxhash64(*KEY, "run"), F.lit(min(runs, MOST_SHARDS)))).cast("int"))
+        dealt = dealt.unionByName(
+            record(run, digest=sha1, size=size, winner=F.col("winner"),
+                   payload=F.when((F.col("run") == 0) | F.col("winner").isNull(), F.col("payload")),
+                   first=F.col("run") * RUN, copies=F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN))
+        )
+    tasks = len_(bounds) + min(runs, MOST_SHARDS)
+    dealt = dealt.repartitionById(tasks, F.col("shard")).sortWithinPartitions("shard", *KEY, "url", "first", "kind")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, last, note, repeat = _Files(folder, roll_bytes), None, None, 0
         for batch in batches:
-            page, digest, kind, winner, url, payload, shard_ = batch.columns
             for i in range(batch.num_rows):
-                key = (page[i].as_py(), digest[i].as_py())
-                if key != last:
-                    last, note, repeat = key, None, 0
-                if kind[i].as_py() == 0:
-                    note = (winner[i].as_py(),)
+                page, strong, _, url, kind, winner, digest, size, payload, first, copies, shard = (c[i].as_py() for c in batch.columns)
+                if (page, strong, url) != last:
+                    last, note, repeat = (page, strong, url), None, 0
+                if winner is not None:
+                    note = (winner["page_id"], winner["url"])
+                if kind == 0:
                     continue
-                data = payload[i].as_py()
-                if note is None or (note[0] == key[0] and repeat == 0):
-                    member = response(key[0], url[i].as_py(), data, key[1], repeat)
-                else:
-                    member = revisit(key[0], url[i].as_py(), len(data), key[1], repeat, note[0])
-                files.add(shard_[i].as_py(), member)
+                for number in range(repeat, repeat + 1) if first < 0 else range(first, first + copies):
+                    if note is None or (note == (page, url) and number == 0):
+                        member = response(page, url, payload, digest, number)
+                    else:
+                        member = revisit(page, url, size, digest, number, *note)
+                    files.add(shard, member)
                 repeat += 1
         files.close()
         names = ["file", "records", "bytes", "sha256"]
@@ -257,13 +331,31 @@ def write_archives(
     manifest = materialize(
         dealt.mapInArrow(write, "file string, records bigint, bytes bigint, sha256 string"), "warc-manifest"
     )
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    temporary = jvm.org.apache.hadoop.fs.Path(folder + "/_temporary")
-    temporary.getFileSystem(conf).delete(temporary, True)
-    forget(repeated)
+    _commit(manifest, folder)
+    for done in (narrow, repeated, hot, bounds):
+        forget(done)
     return manifest
 
 
+def len_(bounds: DataFrame) -> int:
+    """Shards that ``bounds`` part."""
+    return 1 + bounds.select(F.size("bounds")).first()[0]
+
+
+def _commit(manifest: DataFrame, folder: str) -> None:
+    """Rename the manifest, a file of one row for each archive, into the folder; then clear up."""
+    spark = manifest.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    temporary = f"{folder}/_temporary"
+    manifest.orderBy("file").coalesce(1).write.parquet(f"{temporary}/manifest")
+    fs = path(temporary).getFileSystem(conf)
+    part = next(x.getPath() for x in fs.listStatus(path(f"{temporary}/manifest")) if x.getPath().getName().startswith("part-"))
+    if not fs.rename(part, path(f"{folder}/{MANIFEST}")):
+        raise OSError(f"{folder}: the manifest could not be put in place")
+    fs.delete(path(temporary), True)
+
+
 def members(stream) -> Iterator[bytes]:
     """The gzip members of a file, inflated, one at a time."""
     raw, opened = b"", None
@@ -297,11 +389,13 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record.
 
+    Reads the files that the folder's manifest lists; a folder without one is an error.
     Digests of blocks and payloads are checked; a difference is an error.
     """
+    manifest = spark.read.parquet(f"{folder}/{MANIFEST}")
     ship(spark)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,8 +435,8 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
 
 def op7_warc(spark, sf_dir):
     folder = fresh_path(spark, "warc")
-    manifest = write_archives(table(spark, sf_dir, "pages"), folder)
-    return read_archives(spark, folder, manifest)
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder)
 
 
 OP7_SQL = """

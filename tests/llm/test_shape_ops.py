@@ -168,7 +168,7 @@ def test_warc_round_trip(spark):
     df = spark.createDataFrame([(*r, "d", "k", "s") for r in rows], PAGES).repartition(5)
     folder = fresh_path(spark, "warc-test")
     manifest = write_archives(df, folder, roll_bytes=2000, shard_bytes=4000)
-    got = sorted(map(tuple, read_archives(spark, folder, manifest).collect()), key=str)
+    got = sorted(map(tuple, read_archives(spark, folder).collect()), key=str)
     assert got == want_warc(rows)
     again = fresh_path(spark, "warc-test")
     other = write_archives(df.repartition(2), again, roll_bytes=2000, shard_bytes=4000)
@@ -184,10 +184,38 @@ def test_warc_round_trip(spark):
     with files.open_output_stream(f"{top}/{last.file}", compression=None) as out:
         out.write(b"broken")
     with pytest.raises(Exception):  # noqa: B017  whatever Spark wraps it in
-        read_archives(spark, folder, manifest).collect()
+        read_archives(spark, folder).collect()
+
+
+def test_warc_of_rows_repeated_beyond_a_shard(spark, monkeypatch):
+    import millrace.llm.warc as warc
+
+    monkeypatch.setattr(warc, "RUN", 64)
+    big = "y" * 1200
+    rows = [(7, "http://h/7", big)] * 500 + [(7, "http://h/8", big)] * 3 + [(8, None, "small")] * 700 + [(None, "u", big)] * 200
+    rows += [(i, f"http://h/{i}", big if i % 3 else f"page {i}" * 30) for i in range(100, 160)]
+    df = spark.createDataFrame([(*r, "d", "k", "s") for r in rows], PAGES)
+    found = []
+    for parts in (2, 7):
+        folder = fresh_path(spark, "warc-test")
+        manifest = write_archives(df.repartition(parts), folder, shard_bytes=20_000)
+        assert sorted(map(tuple, read_archives(spark, folder).collect()), key=str) == want_warc(rows)
+        files = sorted(map(tuple, manifest.collect()))
+        assert max(r[1] for r in files) <= 200 and len(files) >= 15
+        found.append(files)
+    assert found[0] == found[1]
+
+
+def test_warc_without_a_manifest_is_no_archive(spark):
+    folder = fresh_path(spark, "warc-test")
+    write_archives(spark.createDataFrame([(1, "u", "x", "d", "k", "s")], PAGES), folder)
+    files, top = file_system(folder)
+    files.delete_file(f"{top}/manifest.parquet")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_archives(spark, folder).collect()
 
 
 def test_warc_empty(spark):
     folder = fresh_path(spark, "warc-test")
-    manifest = write_archives(spark.createDataFrame([], PAGES), folder)
-    assert read_archives(spark, folder, manifest).collect() == []
+    assert write_archives(spark.createDataFrame([], PAGES), folder).collect() == []
+    assert read_archives(spark, folder).collect() == []
