@@ -7,6 +7,7 @@ are keyed ``<transform>.<metric>``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark import AccumulatorParam
@@ -30,6 +31,27 @@ class Distribution:
     of: Column
 
 
+def _aggregates(metrics: Iterable[Counter | Distribution]) -> list[Column]:
+    exprs = []
+    for m in metrics:
+        if isinstance(m, Counter):
+            by = F.count(F.lit(1)) if m.by is None else F.coalesce(F.sum(m.by), F.lit(0))
+            exprs.append(by.alias(m.name))
+        else:
+            for kind, agg in (("count", F.count), ("sum", F.sum), ("min", F.min), ("max", F.max)):
+                exprs.append(agg(m.of).alias(f"{m.name}_{kind}"))
+    return exprs
+
+
+def measure(df: DataFrame, *metrics: Counter | Distribution) -> DataFrame:
+    """The same metrics as a table of one row, without an action."""
+    return df.agg(*_aggregates(metrics))
+
+
+def _finished(seen: Observation) -> bool:
+    return bool(seen._jo is not None and seen._jo.future().isCompleted())
+
+
 class _Spread(AccumulatorParam):
     def zero(self, value):
         return (0, 0, None, None)
@@ -46,19 +68,17 @@ class Metrics:
 
     observations: dict[str, tuple[Observation, list]] = field(default_factory=dict)
     accumulators: dict[str, object] = field(default_factory=dict)
+    finalizers: list[Callable[[], object]] = field(default_factory=list)
+
+    def after_commit(self, fn: Callable[[], object]) -> None:
+        """Have ``fn`` called once on the driver when all outputs of the pipeline are committed."""
+        self.finalizers.append(fn)
 
     def observe(self, transform: str, df: DataFrame, *metrics: Counter | Distribution) -> DataFrame:
         """Attach metrics to the rows of ``df``; names of transforms must differ."""
         if transform in self.observations:
             raise ValueError(f"transform {transform!r} is observed already")
-        exprs = []
-        for m in metrics:
-            if isinstance(m, Counter):
-                by = F.count(F.lit(1)) if m.by is None else F.coalesce(F.sum(m.by), F.lit(0))
-                exprs.append(by.alias(m.name))
-            else:
-                for kind, agg in (("count", F.count), ("sum", F.sum), ("min", F.min), ("max", F.max)):
-                    exprs.append(agg(m.of).alias(f"{m.name}_{kind}"))
+        exprs = _aggregates(metrics)
         seen = Observation(f"millrace-{id(self)}-{transform}")
         self.observations[transform] = (seen, list(metrics))
         return df.observe(seen, *exprs)
@@ -73,8 +93,10 @@ class Metrics:
             key, spark.sparkContext.accumulator((0, 0, None, None), _Spread())
         )
 
-    def _results(self):
+    def _results(self, waiting: bool = True):
         for transform, (seen, metrics) in self.observations.items():
+            if not waiting and not _finished(seen):
+                continue
             row = seen.get  # waits for the action that computes it
             for m in metrics:
                 if isinstance(m, Counter):
@@ -85,6 +107,12 @@ class Metrics:
             v = acc.value
             yield key, dict(zip(("count", "sum", "min", "max"), v, strict=True)) if isinstance(v, tuple) else v
 
+    def so_far(self) -> tuple[dict[str, int], dict[str, dict]]:
+        """Counters and distributions that are known now; an observation that has not ended is not."""
+        found = dict(self._results(waiting=False))
+        spread = {k: v for k, v in found.items() if isinstance(v, dict)}
+        return {k: v for k, v in found.items() if k not in spread}, spread
+
     @property
     def counters(self) -> dict[str, int]:
         return {k: v for k, v in self._results() if not isinstance(v, dict)}

@@ -7,6 +7,7 @@ runs and steals no work later, so ranges are split small enough at the start.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -67,9 +68,13 @@ class RangeTracker:
         return self.claimed >= self.range.high - 1
 
     def try_split(self, fraction: float) -> OffsetRange | None:
-        """Give away the last part of what is left; keep ``fraction`` of it, rounded up."""
+        """Give away the last part of what is left; keep ``fraction`` of it, rounded up.
+
+        A fraction outside 0..1 counts as the nearer of the two, so what is claimed is kept
+        whatever it is.  A range that would lose nothing is not split.
+        """
         at = self.claimed + 1
-        keep = at + -int(-(self.range.high - at) * fraction // 1)
+        keep = at + math.ceil((self.range.high - at) * min(max(fraction, 0.0), 1.0))
         if keep >= self.range.high:
             return None
         rest = OffsetRange(keep, self.range.high)
@@ -77,10 +82,20 @@ class RangeTracker:
         return rest
 
 
+#: Positions that one array holds while ranges are unfolded.
+BLOCK = 65_536
+
+
 def explode_range(df: DataFrame, low: Column, high: Column, name: str = "position") -> DataFrame:
-    """A row for each position from ``low`` to ``high`` - 1; none where the range is empty."""
-    positions = F.when(high > low, F.sequence(low, high - 1))
-    return df.select("*", F.explode(positions).alias(name))
+    """A row for each position from ``low`` to ``high`` - 1; none where the range is empty.
+
+    Ranges are unfolded block by block, so that a very long one is no array.
+    """
+    last = high - 1
+    blocks = F.when(high > low, F.sequence(low, last, F.lit(BLOCK)))
+    positions = F.sequence(F.col("block_"), F.least(F.col("block_") + (BLOCK - 1), F.col("last_")))
+    cut = df.select("*", last.alias("last_"), F.explode(blocks).alias("block_"))
+    return cut.select(*df.columns, F.explode(positions).alias(name))
 
 
 def split_ranges(df: DataFrame, low: str, high: str, most: int, tasks: int | None = None) -> DataFrame:
@@ -132,14 +147,19 @@ def process_ranges(
             )
 
     def process(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            rows = []
             for row in batch.to_pylist():
                 tracker = RangeTracker(OffsetRange(row.pop("low_"), row.pop("high_")))
                 position = tracker.start()
                 while tracker.try_claim(position):
                     position, found = work(row, position)
-                    rows += [shaped(v) for v in found]
+                    for v in found:
+                        rows.append(shaped(v))
+                        if len(rows) >= 10_000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                            rows = []
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     paired = T.StructType([*df.schema, T.StructField("low_", T.LongType()), T.StructField("high_", T.LongType())])

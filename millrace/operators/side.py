@@ -14,13 +14,20 @@ from pyspark.sql import functions as F
 
 from ..functions.types import key_type
 
-#: Rows of a side input that are broadcast.
-BOUND = 1_000_000
+#: Bytes of a side input that are broadcast.
+BOUND = 64 << 20
 
 
 def _small(df: DataFrame, bound: int) -> bool:
-    """Whether ``df`` has ``bound`` rows at most; looks at no more than one row beyond."""
-    return df.limit(bound + 1).count() <= bound
+    """Whether ``df`` has ``bound`` bytes at most: by the plan's estimate, or else measured.
+
+    An estimate counts files as they are compressed, so only a far smaller one needs no job.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) <= bound // 8:
+        return True
+    wide = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    return df.agg(F.coalesce(F.sum(wide), F.lit(0))).first()[0] <= bound
 
 
 @dataclass(frozen=True)
@@ -31,7 +38,7 @@ class SideIter:
     def join(self, main: DataFrame, condition: Column | None = None) -> DataFrame:
         """Every row of ``main`` with every row of the side input that meets ``condition``."""
         if not _small(self.side, self.bound):
-            raise ValueError(f"an iterable side input of more than {self.bound} rows; give it a key and use a map")
+            raise ValueError(f"an iterable side input of more than {self.bound} bytes; give it a key and use a map")
         side = F.broadcast(self.side)
         return main.crossJoin(side) if condition is None else main.join(side, condition, "inner")
 

@@ -59,15 +59,52 @@ class _LocalList:
         self.data = []
 
 
-class _LocalMap(dict):
+def entry_key(value: object) -> bytes:
+    """Names a key of a map or a member of a set, alike in batch and in streaming.
+
+    Values are alike when type and content are: 1, 1.0 and True are three keys, lists and
+    dicts are keys like any other, and the order in a dict or set is no matter.
+    """
+    if isinstance(value, (list, tuple)):
+        inner = b"".join(map(entry_key, value))
+    elif isinstance(value, dict):
+        inner = b"".join(sorted(entry_key(k) + entry_key(v) for k, v in value.items()))
+    elif isinstance(value, (set, frozenset)):
+        inner = b"".join(sorted(map(entry_key, value)))
+    elif value is None or isinstance(value, (bool, int, float, str, bytes)):
+        inner = repr(value).encode()
+    else:
+        inner = pickle.dumps(value)
+    kind = type(value).__name__.encode()
+    return b"%s:%d:%s" % (kind, len(inner), inner)
+
+
+class _LocalMap:
+    """Entries by ``entry_key``."""
+
+    def __init__(self):
+        self.data: dict[bytes, tuple] = {}
+
+    def get(self, key, default=None):
+        return self.data.get(entry_key(key), (None, default))[1]
+
     def put(self, key, value) -> None:
-        self[key] = value
+        self.data[entry_key(key)] = (key, value)
+
+    def __contains__(self, key) -> bool:
+        return entry_key(key) in self.data
 
     def remove(self, key) -> None:
-        self.pop(key, None)
+        self.data.pop(entry_key(key), None)
+
+    def keys(self) -> list:
+        return [k for k, _ in self.data.values()]
 
     def pairs(self) -> list:
-        return list(self.items())
+        return list(self.data.values())
+
+    def clear(self) -> None:
+        self.data.clear()
 
 
 _BLOB = T.StructType([T.StructField("data", T.BinaryType())])
@@ -116,29 +153,29 @@ class _StoredList:
 
 
 class _StoredMap:
-    """Reads and writes touch one entry."""
+    """Reads and writes touch one entry, found by its ``entry_key``."""
 
     def __init__(self, handle, name: str):
         self.state = handle.getMapState(name, _BLOB, _BLOB)
 
     def get(self, key, default=None):
-        k = (pickle.dumps(key),)
-        return _load(self.state.getValue(k)) if self.state.containsKey(k) else default
+        k = (entry_key(key),)
+        return _load(self.state.getValue(k))[1] if self.state.containsKey(k) else default
 
     def put(self, key, value) -> None:
-        self.state.updateValue((pickle.dumps(key),), (pickle.dumps(value),))
+        self.state.updateValue((entry_key(key),), (pickle.dumps((key, value)),))
 
     def __contains__(self, key) -> bool:
-        return self.state.containsKey((pickle.dumps(key),))
+        return self.state.containsKey((entry_key(key),))
 
     def remove(self, key) -> None:
-        self.state.removeKey((pickle.dumps(key),))
+        self.state.removeKey((entry_key(key),))
 
     def keys(self) -> list:
-        return [_load(k) for k in self.state.keys()]
+        return [k for k, _ in self.pairs()]
 
     def pairs(self) -> list:
-        return [(_load(k), _load(v)) for k, v in self.state.iterator()]
+        return [_load(v) for _, v in self.state.iterator()]
 
     def clear(self) -> None:
         self.state.clear()
@@ -241,7 +278,12 @@ class Set(Cell):
         return value in self.backend
 
     def read(self) -> list:
-        return sorted(self.backend.keys())
+        """The values in order; by type and content where they have none."""
+        values = self.backend.keys()
+        try:
+            return sorted(values)
+        except TypeError:
+            return sorted(values, key=entry_key)
 
 
 class MultiMap(Cell):

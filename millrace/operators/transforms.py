@@ -7,10 +7,12 @@ Python functions over Arrow batches, and feeds several outputs from one pass.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +120,16 @@ class DoFn:
     with several.  One instance serves one partition.
     """
 
+    @property
+    def logger(self) -> logging.Logger:
+        """Named by the class; it writes to the executor's log."""
+        return logging.getLogger(f"millrace.{type(self).__name__}")
+
+    @property
+    def context(self) -> TaskContext | None:
+        """The running task: partition, attempt, stage; None outside of one."""
+        return TaskContext.get()
+
     def start_bundle(self) -> None: ...
 
     def process(self, element: object, emit: Callable[..., None]) -> None:
@@ -170,6 +182,16 @@ def _struct(schema: object) -> T.StructType:
     return kind
 
 
+class Outputs(dict):
+    """Named outputs of one pass; ``release`` drops the rows that they share."""
+
+    tagged: DataFrame | None = None
+
+    def release(self) -> None:
+        if self.tagged is not None:
+            self.tagged.unpersist()
+
+
 def par_do(
     df: DataFrame,
     fn: DoFn | Callable[[object], Iterable[object]],
@@ -180,7 +202,7 @@ def par_do(
 
     ``outputs`` is a schema, or a dict of named ones.  Named outputs come from one
     Python pass whose tagged rows are persisted (unless ``persist`` is false), so the
-    function does not run once for each output that is used.
+    function does not run once for each output that is used; ``release`` the result when done.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -238,6 +260,8 @@ def par_do(
     done = df.mapInArrow(run, whole)
     if single:
         return done
+    found = Outputs((k, done) for k in kinds)
     if persist or (persist is None and len(kinds) > 1):
-        done = done.persist()
-    return {k: done.where(F.col("tag") == k).select(f"{k}.*") for k in kinds}
+        found.tagged = done = done.persist()
+    found.update((k, done.where(F.col("tag") == k).select(f"{k}.*")) for k in kinds)
+    return found

@@ -1,5 +1,5 @@
 """Named pipelines, and the library's own queries with their SQL twins."""
 
-from .pipeline import Launcher, Pipeline, launch, launch_and_wait
+from .pipeline import Launcher, Options, Pipeline, endpoint, launch, launch_and_wait, merged, name
 
-__all__ = ["Launcher", "Pipeline", "launch", "launch_and_wait"]
+__all__ = ["Launcher", "Options", "Pipeline", "endpoint", "launch", "launch_and_wait", "merged", "name"]

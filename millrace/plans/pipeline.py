@@ -5,7 +5,8 @@ from __future__ import annotations
 import itertools
 import threading
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from concurrent.futures import CancelledError
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,39 +28,70 @@ class Pipeline:
     counters: dict[str, int] = field(default_factory=dict)
     distributions: dict[str, dict] = field(default_factory=dict)
     error: BaseException | None = None
+    cancelled: bool = False
     _thread: threading.Thread | None = None
 
     def _run(self, sink: Callable[[str, DataFrame], object]) -> None:
+        # Tags belong to a thread, and jobs that it starts carry them.
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)
         try:
-            self.spark.addTag(self.tag)
             for name, df in self.outputs.items():
+                if self.cancelled:
+                    raise CancelledError(f"pipeline {self.name!r} was cancelled")
                 self.results[name] = sink(name, df)
+            for finish in self.metrics.finalizers:
+                finish()
         except BaseException as e:  # noqa: BLE001  handed to wait()
             self.error = e
         finally:
-            self.spark.removeTag(self.tag)
+            context.removeJobTag(self.tag)
 
     def wait(self) -> Pipeline:
+        """Wait for the end; raise what the pipeline raised, its metrics being there all the same."""
         if self._thread:
             self._thread.join()
-        try:
-            if self.error is None or self.metrics.accumulators:
-                self.counters = self.metrics.counters if self.error is None else {}
-                self.distributions = self.metrics.distributions if self.error is None else {}
-        finally:
-            if self.error is not None:
-                raise self.error
-        return self
+        if self.error is None:
+            self.counters, self.distributions = self.metrics.counters, self.metrics.distributions
+            return self
+        self.counters, self.distributions = self.metrics.so_far()
+        raise self.error
 
     def cancel(self) -> None:
-        """Stop the jobs of this pipeline and no others."""
-        self.spark.interruptTag(self.tag)
+        """Stop the running job of this pipeline, and no other's; outputs not begun are left out."""
+        self.cancelled = True
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 #: A builder gets the session, the metrics to attach to, and options; it returns outputs.
 Builder = Callable[..., dict[str, DataFrame] | DataFrame]
 
 
+@dataclass(frozen=True)
+class Options:
+    """Features of a run: the pipeline's ``name``, and the ``endpoint`` it is sent to."""
+
+    name: str | None = None
+    endpoint: str | None = None
+
+
+def name(value: str) -> Options:
+    return Options(name=value)
+
+
+def endpoint(value: str) -> Options:
+    """A master or a Spark Connect address; see ``session``."""
+    return Options(endpoint=value)
+
+
+def merged(*options: Options) -> Options:
+    """One of all; what a later one sets overrides an earlier one."""
+    out = Options()
+    for o in options:
+        out = replace(out, **{k: v for k, v in vars(o).items() if v is not None})
+    return out
+
+
 class Launcher:
     """A registry of pipelines."""
 
@@ -104,11 +136,13 @@ class Launcher:
         return p.wait() if wait else p
 
 
-def launch(spark: SparkSession, builder: Builder, name: str = "default", **options: object) -> Pipeline:
+def launch(spark: SparkSession, builder: Builder, name: str = "default", *options: Options, **params: object) -> Pipeline:
+    """Load, and run at once; an option's name goes before ``name``."""
+    chosen = merged(Options(name=name), *options).name
     launcher = Launcher()
-    launcher.load(name, builder)
-    return launcher.ready().run(spark, name, **options)
+    launcher.load(chosen, builder)
+    return launcher.ready().run(spark, chosen, **params)
 
 
-def launch_and_wait(spark: SparkSession, builder: Builder, name: str = "default", **options: object) -> Pipeline:
-    return launch(spark, builder, name, **options).wait()
+def launch_and_wait(spark: SparkSession, builder: Builder, name: str = "default", *options: Options, **params: object) -> Pipeline:
+    return launch(spark, builder, name, *options, **params).wait()

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import byte_length, extract_words, split_lines
-from ..functions.metrics import Distribution, Metrics
+from ..functions.metrics import Counter, Distribution, Metrics, measure
+from ..functions.text import byte_length, extract_words, is_blank, split_lines
 from ..operators import (
     DoFn,
     StatefulFn,
+    add_merge,
+    as_of_join,
     as_side_iter,
     as_side_map,
     co_group_by_key,
     combine_globally,
     combine_per_key,
     create,
+    cube,
+    distinct,
+    except_,
     expand,
     explode_range,
     filter_,
@@ -23,18 +28,29 @@ from ..operators import (
     flatten,
     full_combine,
     group_by_key,
+    group_into_batches,
+    grouping_sets,
     impulse,
+    intersect,
+    interval_join,
+    join,
     map_,
+    merge_extract,
     par_do,
     partition,
     process_ranges,
     reshuffle,
+    rollup,
     simple_merge,
     stateful_par_do,
 )
+from ..operators import top_per_key as top_rows
 from ..operators.ranges import OffsetRange
-from ..operators.state import Bag, OrderedList, Set, Value
-from ..sources.synthetic import synthetic_ranges
+from ..operators.state import Bag, Combining, Map, MultiMap, OrderedList, Set, Value
+from ..sources.files import match_all, match_files, read_content, read_matches
+from ..sources.scratch import scratch_dir
+from ..sources.synthetic import SourceConfig, synthetic_ranges, synthetic_source, synthetic_step
+from ..sources.text import immediate, read_all, read_text, read_with_filename, write_single
 from ..streaming.windows import fixed_windows, session_windows, sliding_windows
 
 
@@ -353,14 +369,252 @@ def win_session(spark, sf_dir):
 
 
 def distinct_values(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+    return distinct(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"))
 
 
 def top_per_key(spark, sf_dir):
     """The three dearest orders of each priority."""
-    rank = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
-    return orders.withColumn("rank", F.row_number().over(rank).cast("bigint")).where("rank <= 3")
+    return top_rows(orders, "o_orderpriority", 3, F.desc("o_totalprice"), "o_orderkey")
+
+
+def count_words(lines: DataFrame, metrics: Metrics | None = None, small: int = 4) -> DataFrame:
+    """The word count as a composite: ``key, value`` of the words of ``lines``.
+
+    Observes, where ``metrics`` are given, how many words are shorter than ``small``, the
+    lengths of lines, and how many lines are blank.
+    """
+    if metrics is not None:
+        lines = metrics.observe("lines", lines, *line_metrics(F.col("value"), small))
+    words = flat_map(lines, extract_words(F.col("value")), "key")
+    return combine_per_key(words.withColumn("value", F.lit(1)), "count")
+
+
+def line_metrics(line, small: int) -> list:
+    short = F.size(F.filter(extract_words(line), lambda w: byte_length(w) < small))
+    blank = F.when(is_blank(line), 1).otherwise(0)
+    return [Counter("small_words", short), Distribution("line_len", byte_length(line)), Counter("empty_lines", blank)]
+
+
+def wordcount_metrics(spark, sf_dir):
+    """The word count's metrics, as a table."""
+    lines = flat_map(table(spark, sf_dir, "documents"), split_lines(F.col("text")), "value")
+    return measure(lines, *line_metrics(F.col("value"), 4))
+
+
+def metrics_counter(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    clicks = F.when(F.col("event_type") == "click", 1).otherwise(0)
+    return measure(events, Counter("rows"), Counter("clicks", clicks))
+
+
+def combine_add_merge(spark, sf_dir):
+    """Letters in the names of each brand: an accumulator that is the output."""
+    keyed = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_name").alias("value"))
+    letters = add_merge(create=lambda: 0, add=lambda a, v: a + len(v), merge=lambda a, b: a + b)
+    return combine_per_key(keyed, letters, output=int).select("key", F.col("value").alias("letters"))
+
+
+def combine_merge_extract(spark, sf_dir):
+    """Sizes of each brand's parts, merged as they are and extracted as text."""
+    keyed = table(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_size").alias("value"))
+    total = merge_extract(merge=lambda a, b: a + b, extract=lambda a: f"<{a}>")
+    return combine_per_key(keyed, total, output=str).select("key", F.col("value").alias("total"))
+
+
+class _BundleCount(DoFn):
+    """Emits nothing for an element and the number of elements for a bundle."""
+
+    def start_bundle(self):
+        self.n = 0
+
+    def process(self, element, emit):
+        self.n += 1
+
+    def finish_bundle(self, emit):
+        emit(self.n)
+
+
+def bundle_hooks(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("value"))
+    return par_do(keys, _BundleCount(), int).agg(F.sum("value").alias("n"))
+
+
+def multiplex(spark, sf_dir):
+    """Three consumers of one collection."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return flatten(
+        map_(orders, key=F.lit("all"), value=F.col("o_orderkey")),
+        map_(filter_(orders, F.col("o_totalprice") > 200000), key=F.lit("dear"), value=F.col("o_orderkey")),
+        map_(orders, key=F.lit("mod"), value=F.col("o_orderkey") % 7),
+    ).groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+class _Running(StatefulFn):
+    total = Combining(simple_merge(lambda a, b: a + b))
+
+    def process(self, key, row, emit):
+        self.total.add(row["cents"])
+        emit((key, row["event_id"], self.total.read()))
+
+
+class _PerType(StatefulFn):
+    seen = Map()
+
+    def process(self, key, row, emit):
+        n = self.seen.get(row["event_type"], 0) + 1
+        self.seen.put(row["event_type"], n)
+        emit((key, row["event_id"], n))
+
+
+class _Listed(StatefulFn):
+    """The events of the type so far, and the first of them."""
+
+    events = MultiMap()
+
+    def process(self, key, row, emit):
+        self.events.put(row["event_type"], row["event_id"])
+        held = list(self.events.get(row["event_type"]))
+        emit((key, row["event_id"], len(held), held[0]))
+
+
+def _stateful(fn, output):
+    def query(spark, sf_dir):
+        return stateful_par_do(_by_user(spark, sf_dir), fn(), f"user_id bigint, event_id bigint, {output}", order_by=["ts", "event_id"])
+
+    return query
+
+
+def synthetic_records(spark, sf_dir):
+    made = synthetic_source(spark, SourceConfig(1000, key_size=12, value_size=100, initial_splits=4))
+    return made.agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("key")).alias("key_bytes"),
+        F.sum(F.octet_length("value")).alias("value_bytes"), F.count_distinct("key").alias("keys"),
+    )
+
+
+def synthetic_repeats(spark, sf_dir):
+    return synthetic_step(table(spark, sf_dir, "supplier").select("s_suppkey"), outputs=4).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+
+
+def _nation_files(spark, sf_dir) -> str:
+    """A folder with a file for each region, ``<region>.txt``, of its nations, one on a line."""
+    folder = scratch_dir(spark, "nations")
+    nations = table(spark, sf_dir, "nation")
+    for region in table(spark, sf_dir, "region").collect():  # five rows at any scale
+        own = nations.where(F.col("n_regionkey") == region["r_regionkey"]).orderBy("n_name")
+        write_single(own.select(F.col("n_name").alias("value")), folder, f"{region['r_name']}.txt")
+    return folder
+
+
+def io_match_files(spark, sf_dir):
+    return match_files(spark, _nation_files(spark, sf_dir), "A*.txt").select("key", "size")
+
+
+def io_match_all(spark, sf_dir):
+    folder = _nation_files(spark, sf_dir)
+    globs = spark.createDataFrame([(folder, "A*.txt"), (folder, "EUROPE.*"), (folder, "*none*")], "key string, value string")
+    return match_all(globs).select("key", "size")
+
+
+def io_read_matches(spark, sf_dir):
+    files = read_matches(match_files(spark, _nation_files(spark, sf_dir), "*.txt"))
+    return read_content(files, text=True).select("key", "content")
+
+
+def io_read_text(spark, sf_dir):
+    return read_text(spark, _nation_files(spark, sf_dir), "*.txt")
+
+
+def io_read_all(spark, sf_dir):
+    folder = _nation_files(spark, sf_dir)
+    return read_all(spark.createDataFrame([(folder, "AMERICA.txt"), (folder, "AS*")], "key string, value string"))
+
+
+def io_read_with_filename(spark, sf_dir):
+    return read_with_filename(spark, _nation_files(spark, sf_dir), "*.txt")
+
+
+def io_write_single(spark, sf_dir):
+    """Words written to one file and read back."""
+    folder = scratch_dir(spark, "single")
+    lines = table(spark, sf_dir, "customer").select(F.format_string("%s: %s", "c_name", "c_mktsegment").alias("value"))
+    write_single(lines, folder, "out/customers.txt")
+    return read_text(spark, folder, "out/*")
+
+
+def io_immediate(spark, sf_dir):
+    folder = scratch_dir(spark, "immediate")
+    write_single(table(spark, sf_dir, "region").select(F.col("r_name").alias("value")), folder, "regions.txt")
+    return immediate(spark, f"{folder}/regions.txt")
+
+
+def _customer_orders(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")
+    return customers, orders
+
+
+def _join(how):
+    def query(spark, sf_dir):
+        return join(*_customer_orders(spark, sf_dir), "key", how)
+
+    return query
+
+
+def set_intersect(spark, sf_dir):
+    customers, orders = _customer_orders(spark, sf_dir)
+    return intersect(customers.select("key"), orders.select("key"))
+
+
+def set_except(spark, sf_dir):
+    customers, orders = _customer_orders(spark, sf_dir)
+    return except_(customers.select("key"), orders.select("key"))
+
+
+def _flags(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
+
+
+def agg_rollup(spark, sf_dir):
+    return rollup(_flags(spark, sf_dir), ["l_returnflag", "l_linestatus"], n=F.count("*"), quantity=F.sum("l_quantity"))
+
+
+def agg_cube(spark, sf_dir):
+    return cube(_flags(spark, sf_dir), ["l_returnflag", "l_linestatus"], n=F.count("*"), quantity=F.sum("l_quantity"))
+
+
+def agg_grouping_sets(spark, sf_dir):
+    sets = [["l_returnflag"], ["l_linestatus"], []]
+    return grouping_sets(_flags(spark, sf_dir), sets, ["l_returnflag", "l_linestatus"], n=F.count("*"))
+
+
+def agg_distinct(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers"), F.count("*").alias("n"))
+
+
+def asof_join(spark, sf_dir):
+    """Each purchase with the user's last click before it."""
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"))
+    return as_of_join(bought, clicks, "ts", ["user_id"], ["click_id"]).select("user_id", "event_id", "click_id")
+
+
+def range_join(spark, sf_dir):
+    """Parts by the price bands that hold their sizes."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    bands = spark.createDataFrame([("low", 0, 10), ("mid", 5, 30), ("high", 30, 1000)], "band string, low int, high int")
+    return interval_join(parts, bands, "p_size", "low", "high", 25).select("p_partkey", "band")
+
+
+def batches(spark, sf_dir):
+    """Orders of each customer in batches of three."""
+    keyed = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("value"))
+    return group_into_batches(keyed, 3).select(
+        "key", "batch", F.concat_ws(",", F.transform("values", lambda v: v.cast("string"))).alias("list")
+    )
 
 
 QUERIES = {
@@ -404,9 +658,48 @@ QUERIES = {
     "win_session": win_session,
     "distinct_values": distinct_values,
     "top_per_key": top_per_key,
+    "wordcount_metrics": wordcount_metrics,
+    "metrics_counter": metrics_counter,
+    "combine_add_merge": combine_add_merge,
+    "combine_merge_extract": combine_merge_extract,
+    "bundle_hooks": bundle_hooks,
+    "multiplex": multiplex,
+    "stateful_combining": _stateful(_Running, "total bigint"),
+    "stateful_map": _stateful(_PerType, "n bigint"),
+    "stateful_multimap": _stateful(_Listed, "n bigint, first bigint"),
+    "synthetic_records": synthetic_records,
+    "synthetic_repeats": synthetic_repeats,
+    "io_match_files": io_match_files,
+    "io_match_all": io_match_all,
+    "io_read_matches": io_read_matches,
+    "io_read_text": io_read_text,
+    "io_read_all": io_read_all,
+    "io_read_with_filename": io_read_with_filename,
+    "io_write_single": io_write_single,
+    "io_immediate": io_immediate,
+    "join_inner": _join("inner"),
+    "join_left": _join("left"),
+    "join_full": _join("full"),
+    "join_anti": _join("left_anti"),
+    "set_intersect": set_intersect,
+    "set_except": set_except,
+    "agg_rollup": agg_rollup,
+    "agg_cube": agg_cube,
+    "agg_grouping_sets": agg_grouping_sets,
+    "agg_distinct": agg_distinct,
+    "asof_join": asof_join,
+    "range_join": range_join,
+    "group_into_batches": batches,
 }
 
 _ROLLING = "(PARTITION BY user_id ORDER BY ts, event_id)"
+_TYPED = "(PARTITION BY user_id, event_type ORDER BY ts, event_id)"
+_LINES = """SELECT unnest(CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text, chr(10))[:-2]
+    ELSE string_split(text, chr(10)) END) AS line FROM documents"""
+_FILES = "nation JOIN region ON n_regionkey = r_regionkey"
+_PAIRS = """(SELECT c_custkey AS key, c_nationkey FROM customer) c {} JOIN
+    (SELECT o_custkey AS key, o_orderkey FROM orders) o ON c.key = o.key"""
+_SUMS = "count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY"
 
 ORACLES = {
     "impulse_count": "SELECT CAST(1 AS BIGINT) AS n",
@@ -482,4 +775,51 @@ ORACLES = {
     "top_per_key": """SELECT * FROM (SELECT o_orderpriority, o_orderkey, o_totalprice,
         row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
         WHERE rank <= 3""",
+    "wordcount_metrics": f"""SELECT CAST(sum(len(list_filter(regexp_extract_all(line, '[a-zA-Z]+(''[a-z])?', 0), lambda x: strlen(x) < 4))) AS BIGINT) AS small_words,
+        count(*) AS line_len_count, CAST(sum(strlen(line)) AS BIGINT) AS line_len_sum, min(strlen(line)) AS line_len_min, max(strlen(line)) AS line_len_max,
+        CAST(sum(CASE WHEN trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = '' THEN 1 ELSE 0 END) AS BIGINT) AS empty_lines FROM ({_LINES})""",
+    "metrics_counter": "SELECT count(*) AS rows, count(*) FILTER (event_type = 'click') AS clicks FROM events",
+    "combine_add_merge": "SELECT p_brand AS key, CAST(sum(length(p_name)) AS BIGINT) AS letters FROM part GROUP BY 1",
+    "combine_merge_extract": "SELECT p_brand AS key, '<' || CAST(sum(p_size) AS VARCHAR) || '>' AS total FROM part GROUP BY 1",
+    "bundle_hooks": "SELECT count(*) AS n FROM orders",
+    "multiplex": """SELECT 'all' AS key, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders
+        UNION ALL SELECT 'dear', count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders WHERE o_totalprice > 200000
+        UNION ALL SELECT 'mod', count(*), CAST(sum(o_orderkey % 7) AS BIGINT) FROM orders""",
+    "stateful_combining": f"""SELECT user_id, event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER
+        (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events""",
+    "stateful_map": f"SELECT user_id, event_id, row_number() OVER {_TYPED} AS n FROM events",
+    "stateful_multimap": f"""SELECT user_id, event_id, row_number() OVER {_TYPED} AS n,
+        first_value(event_id) OVER {_TYPED} AS first FROM events""",
+    "synthetic_records": "SELECT CAST(1000 AS BIGINT) AS n, CAST(12000 AS BIGINT) AS key_bytes, CAST(100000 AS BIGINT) AS value_bytes, CAST(1000 AS BIGINT) AS keys",
+    "synthetic_repeats": "SELECT s_suppkey, CAST(4 AS BIGINT) AS n FROM supplier",
+    "io_match_files": f"SELECT r_name || '.txt' AS key, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS size FROM {_FILES} WHERE r_name LIKE 'A%' GROUP BY 1",
+    "io_match_all": f"""SELECT r_name || '.txt' AS key, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS size FROM {_FILES}
+        WHERE r_name LIKE 'A%' OR r_name = 'EUROPE' GROUP BY 1""",
+    "io_read_matches": f"SELECT r_name || '.txt' AS key, string_agg(n_name || chr(10), '' ORDER BY n_name) AS content FROM {_FILES} GROUP BY 1",
+    "io_read_text": f"SELECT n_name AS value FROM {_FILES}",
+    "io_read_all": f"SELECT n_name AS value FROM {_FILES} WHERE r_name = 'AMERICA' OR r_name LIKE 'AS%'",
+    "io_read_with_filename": f"SELECT r_name || '.txt' AS key, n_name AS value FROM {_FILES}",
+    "io_write_single": "SELECT c_name || ': ' || c_mktsegment AS value FROM customer",
+    "io_immediate": "SELECT r_name AS value FROM region",
+    "join_inner": f"SELECT c.key, c_nationkey, o_orderkey FROM {_PAIRS.format('')}",
+    "join_left": f"SELECT c.key, c_nationkey, o_orderkey FROM {_PAIRS.format('LEFT')}",
+    "join_full": f"SELECT coalesce(c.key, o.key) AS key, c_nationkey, o_orderkey FROM {_PAIRS.format('FULL')}",
+    "join_anti": "SELECT c_custkey AS key, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "set_intersect": "SELECT c_custkey AS key FROM customer INTERSECT SELECT o_custkey FROM orders",
+    "set_except": "SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "agg_rollup": f"""SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) + grouping(l_linestatus) AS INT) AS level,
+        {_SUMS} ROLLUP (l_returnflag, l_linestatus)""",
+    "agg_cube": f"""SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) + grouping(l_linestatus) AS INT) AS level,
+        {_SUMS} CUBE (l_returnflag, l_linestatus)""",
+    "agg_grouping_sets": """SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem
+        GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())""",
+    "agg_distinct": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(*) AS n FROM orders GROUP BY 1",
+    "asof_join": """SELECT p.user_id, p.event_id, arg_max(c.event_id, (c.ts, c.event_id)) AS click_id
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
+        ON p.user_id = c.user_id AND c.ts <= p.ts GROUP BY 1, 2""",
+    "range_join": """SELECT p_partkey, band FROM part JOIN (VALUES ('low', 0, 10), ('mid', 5, 30), ('high', 30, 1000)) b(band, low, high)
+        ON low <= p_size AND p_size < high""",
+    "group_into_batches": """SELECT key, batch, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) AS list FROM (
+        SELECT o_custkey AS key, o_orderkey AS v, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 AS batch
+        FROM orders) GROUP BY 1, 2""",
 }

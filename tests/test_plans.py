@@ -1,6 +1,8 @@
 import os
 import subprocess
 import sys
+import threading
+import time
 
 import duckdb
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from millrace.functions import Counter, Distribution, Metrics
 from millrace.operators import DoFn, par_do
-from millrace.plans import Launcher, launch, launch_and_wait
+from millrace.plans import Launcher, Options, endpoint, launch, launch_and_wait, merged, name
 from millrace.plans import queries as own
 from millrace.streaming import fixed_windows, run_available, session_windows, sliding_windows, stream_parquet, stream_text
 
@@ -150,3 +152,89 @@ def test_stream_text(spark, tmp_path):
     out = stream_text(spark, str(tmp_path / "in"), "*.txt")
     got = run_available(out, str(tmp_path / "out"), str(tmp_path / "c")).collect()
     assert sorted(r.value for r in got) == ["x\r", "y"]
+
+
+def test_cancel_stops_the_running_job_and_no_other(spark):
+    def _sleepy(batches):
+        for batch in batches:
+            time.sleep(1)
+            yield batch
+
+    def slow(spark, metrics):
+        return {"a": spark.range(0, 40, 1, 40).mapInArrow(_sleepy, "id bigint"), "b": spark.range(3)}
+
+    p = launch(spark, slow, "slow")
+    other = launch(spark, lambda spark, metrics: spark.range(0, 8, 1, 8).mapInArrow(_sleepy, "id bigint"), "other")
+    time.sleep(3)
+    began = time.monotonic()
+    p.cancel()
+    with pytest.raises(Exception):  # noqa: B017  Spark's own, or CancelledError between two outputs
+        p.wait()
+    assert time.monotonic() - began < 8 and p.results == {}
+    assert other.wait().results == {"out": 8}
+    assert launch_and_wait(spark, lambda spark, metrics: spark.range(5), "after").results == {"out": 5}
+
+
+def test_metrics_are_there_after_a_failure(spark):
+    def build(spark, metrics):
+        seen = metrics.counter(spark, "work.seen")
+        rows = metrics.observe("read", spark.range(10), Counter("rows"))
+        late = metrics.observe("late", spark.range(10), Counter("rows"))
+
+        class Work(DoFn):
+            def process(self, element, emit):
+                seen.add(1)
+                emit(element["id"])
+
+            def finish_bundle(self, emit):
+                pass
+
+        class Bad(DoFn):
+            def process(self, element, emit):
+                raise RuntimeError("broken")
+
+        done = par_do(rows, Work(), int)
+        return {"good": done, "bad": par_do(late, Bad(), int)}
+
+    p = launch(spark, build)
+    with pytest.raises(Exception, match="broken"):
+        p.wait()
+    assert p.results == {"good": 10}
+    assert p.counters["read.rows"] == 10 and p.counters["work.seen"] == 10
+    assert p.counters.get("late.rows", 0) <= 10  # what the failed job had seen
+
+
+def test_finalizers_run_after_all_outputs(spark):
+    calls = []
+
+    def build(spark, metrics):
+        metrics.after_commit(lambda: calls.append(threading.current_thread().name))
+        return spark.range(3)
+
+    assert launch_and_wait(spark, build).results == {"out": 3} and len(calls) == 1
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        launch_and_wait(spark, lambda s, m: (m.after_commit(lambda: calls.append(1)), s.range(1).selectExpr("1 / (id * 0) AS x"))[1],
+                        sink=lambda _, df: df.collect())
+    assert len(calls) == 1
+
+
+def test_later_options_override(spark):
+    assert merged(name("a"), endpoint("local[2]"), name("b")) == Options("b", "local[2]")
+    assert merged() == Options()
+    assert launch(spark, lambda s, m: s.range(1), "first", name("second")).wait().name == "second"
+
+
+def test_session_leaves_the_master_to_spark_submit(tmp_path):
+    code = "from millrace.session import session; s = session(); print('master', s.sparkContext.master, s.conf.get('spark.sql.adaptive.enabled'))"
+    env = {**os.environ, "PYTHONPATH": ROOT, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.sql.adaptive.enabled=false pyspark-shell"}
+    done = subprocess.run([sys.executable, "-c", code], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=120, check=False)
+    assert "master local[2] false" in done.stdout, done.stderr[-500:]
+
+
+def test_composite_word_count_observes_lines(spark):
+    metrics = Metrics()
+    lines = spark.createDataFrame([("a bc  defg",), ("",), ("  ",), ("don't a",)], "value string")
+    got = {r.key: r.value for r in own.count_words(lines, metrics).collect()}
+    assert got == {"a": 2, "bc": 1, "defg": 1, "don't": 1}
+    assert metrics.counters == {"lines.small_words": 3, "lines.empty_lines": 2}
+    assert metrics.distributions["lines.line_len"] == {"count": 4, "sum": 19, "min": 0, "max": 10}

@@ -123,6 +123,8 @@ def test_all_cells(spark, keyed):
 
 def test_bag_in_streaming(spark, tmp_path):
     df = spark.createDataFrame(BAG, "seq bigint, key bigint, value bigint").coalesce(1).sortWithinPartitions("seq")
+    from millrace.streaming import run_available
+
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     from millrace.streaming import run_available
@@ -214,3 +216,50 @@ def test_split_ranges(spark):
     df = spark.createDataFrame([(1, 0, 10), (2, 5, 5), (3, 2, 3)], "id bigint, low bigint, high bigint")
     got = sorted(map(tuple, split_ranges(df, "low", "high", 4).collect()))
     assert got == [(1, 0, 4), (1, 4, 8), (1, 8, 10), (3, 2, 3)]
+
+
+@pytest.mark.parametrize("fraction", [-5.0, -0.5, 0.0])
+def test_claimed_positions_are_never_given_away(fraction):
+    t = RangeTracker(OffsetRange(0, 10))
+    for i in range(5):
+        assert t.try_claim(i)
+    assert t.try_split(fraction) == OffsetRange(5, 10) and t.is_done()
+    assert RangeTracker(OffsetRange(0, 10)).try_split(7.5) is None
+
+
+def test_long_ranges_are_unfolded_in_blocks(spark):
+    from millrace.operators import explode_range
+
+    df = spark.createDataFrame([(1, 0, 200_001), (2, 5, 5), (3, -3, 1)], "k int, low bigint, high bigint")
+    got = explode_range(df, F.col("low"), F.col("high")).groupBy("k").agg(F.count("*").alias("n"), F.min("position").alias("a"), F.max("position").alias("b"))
+    assert sorted(map(tuple, got.collect())) == [(1, 200_001, 0, 200_000), (3, 4, -3, 0)]
+    assert "_" not in explode_range(df, F.col("low"), F.col("high")).columns[-1]
+
+
+class _Keys(StatefulFn):
+    seen, by, many = Set(), Map(), MultiMap()
+
+    def process(self, key, row, emit):
+        import json
+
+        value = json.loads(row["j"])
+        fresh = self.seen.add(value)
+        self.by.put(value, row["n"])
+        self.many.put(value, row["n"])
+        emit((key, row["n"], fresh, len(self.seen.read()), len(self.by.keys()), len(list(self.many.get(value)))))
+
+
+def test_state_keys_of_any_type_alike_in_batch_and_stream(spark, tmp_path):
+    values = ["1", "true", "1.0", "[1, 2]", '{"a": 1, "b": [2]}', "[1, 2]", '{"b": [2], "a": 1}', "null", "1", '"1"']
+    rows = [(1, i, v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "key bigint, n bigint, j string").coalesce(1)
+    out = "key bigint, n bigint, fresh boolean, held bigint, entries bigint, listed bigint"
+    got = sorted(map(tuple, stateful_par_do(df, _Keys(), out, order_by="n").collect()))
+    assert [r[2] for r in got] == [True, True, True, True, True, False, False, True, False, True]
+    assert got[-1][3:] == (7, 7, 1) and got[5][5] == 2
+    from millrace.streaming import run_available
+
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    streamed = run_available(stateful_par_do(stream, _Keys(), out), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert sorted(map(tuple, streamed.collect())) == got
