@@ -39,7 +39,7 @@ MEMO = 300_000
 def features(word: str) -> list[int]:
     """The hashed features of one word: itself, and its beginnings where it is longer."""
     named = [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
-    return [xxhash.xxh32_intdigest(x) for x in named]
+    return [xxhash.xxh32_intdigest(x) - (1 << 31) for x in named]
 
 
 def distinct_words(text: str) -> set[str]:
@@ -56,7 +56,7 @@ def hashed(text: str, memo: dict | None = None) -> np.ndarray:
         found += fs
     if len(memo) > MEMO:
         memo.clear()
-    return np.sort(np.array(found, dtype=np.int64))
+    return np.sort(np.array(found, dtype=np.int32))
 
 
 @dataclass
@@ -86,8 +86,12 @@ class Model:
 
 def _shown(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Features, sorted, and how many of ``texts`` have each."""
-    each = [np.unique(t) for t in texts]
-    return np.unique(np.concatenate(each) if each else np.zeros(0, np.int64), return_counts=True)
+    if not texts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    once = np.concatenate([t[np.diff(t, prepend=t[:1] - 1) != 0] if len(t) else t for t in texts])
+    once.sort()
+    first = np.flatnonzero(np.diff(once, prepend=once[:1] - 1))
+    return once[first], np.diff(np.append(first, len(once)))
 
 
 def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> list[int]:
@@ -286,13 +290,17 @@ def train(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            found = pa.array([hashed(t.as_py(), memo) for t in batch.column(3)], pa.list_(pa.int64()))
+            found = pa.array([hashed(t.as_py(), memo) for t in batch.column(3)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["digest", "positive", "unlabelled", "found"])
 
     # Hashed features, not texts: repeated words of a long text do not travel.
-    taken = fetched.mapInArrow(run, "digest bigint, positive boolean, unlabelled boolean, found array<bigint>").toPandas()
-    taken = taken.sort_values("digest")
-    positive, unlabelled = ([np.asarray(x, dtype=np.int64) for x in taken["found"][taken[k]]] for k in ("positive", "unlabelled"))
+    taken = fetched.mapInArrow(run, "digest bigint, positive boolean, unlabelled boolean, found array<int>").toArrow()
+    taken = taken.combine_chunks()
+    lists = pa.concat_arrays(taken["found"].chunks) if len(taken) else pa.array([], pa.list_(pa.int32()))
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    chosen_, others_ = (np.array(taken[k], dtype=bool) for k in ("positive", "unlabelled"))
+    order = np.argsort(np.array(taken["digest"], dtype=np.int64))
+    positive, unlabelled = ([values[ends[i] : ends[i + 1]] for i in order if of[i]] for of in (chosen_, others_))
     names = telling(positive, unlabelled)
     if prior is None and names:
         prior = toxic_share(seen, voted, marks(names, positive, unlabelled), text_col)
