@@ -1,0 +1,115 @@
+"""Every registered query as it is registered, over whole tables, against brute force or SQL."""
+
+import hashlib
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from test_dedup import near, want_exact
+from test_text_ops import KINDS_IN_ORDER, brute_pii, contamination
+
+from millrace.llm.queries import ORACLES, QUERIES
+from millrace.llm.tokens import open_tokenizer
+
+pytest.importorskip("public_tokenizers")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+
+
+def got(spark, sf_dir, name):
+    return QUERIES[name](spark, sf_dir).collect()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    rows = got(spark, sf_dir, name)
+    cols = sorted(rows[0].asDict())
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(tuple(r[c] for c in cols) for r in rows) == sorted(want)
+
+
+def test_licences(spark, sf_dir, docs):
+    rows = got(spark, sf_dir, "op1_licences")
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs)
+    said = {"GNU General Public License": "gpl", "CC BY-NC 4.0": "cc-by-nc", "MIT License": "mit", "Apache License": "apache"}
+    want = {i: {f for k, f in said.items() if k in (t or "")} for i, t in docs}
+    by = {r.doc_id: set(filter(None, r.confirmed.split(","))) - {"proprietary"} for r in rows}
+    assert by == want
+
+
+def test_decontamination(spark, sf_dir, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    assert sorted((tuple(r) for r in got(spark, sf_dir, "op2_decontamination")), key=str) == contamination(docs, items)
+
+
+def test_packing(spark, sf_dir, docs):
+    tok, want = open_tokenizer("word_bpe_49k.json"), []
+    for i, t in docs:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[a : a + 4096], dtype="<u4").tobytes()
+            want.append((i, k, a, len(part) // 4, zlib.crc32(part)))
+    rows = got(spark, sf_dir, "op3_packing")
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for places in bins.values():
+        ends = np.cumsum([n for _, n in sorted(places)]).tolist()
+        assert [o for o, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 4096
+    assert len(bins) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def test_sharding(spark, sf_dir, docs):
+    rows = got(spark, sf_dir, "op4_sharding")
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted(
+        (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in docs
+    )
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_token_counts(spark, sf_dir, docs):
+    tok, want = open_tokenizer("byte_bpe_50k.json"), []
+    for i, t in docs:
+        n = len(tok.encode(t or "", add_special_tokens=False).ids)
+        want.append((i, len((t or "").encode()), n, n > 1024))
+    assert sorted(map(tuple, got(spark, sf_dir, "op5_token_counts"))) == sorted(want)
+
+
+def test_exact_dedup(spark, sf_dir, docs):
+    rows = got(spark, sf_dir, "op6_exact_dedup")
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows), key=str) == want_exact(docs)
+
+
+def test_personal_data(spark, sf_dir, docs):
+    by = {r.doc_id: r for r in got(spark, sf_dir, "op8_pii")}
+    for i, t in docs:
+        base = sorted(brute_pii(t or ""), key=lambda s: (s[0], KINDS_IN_ORDER.index(s[2])))
+        listed = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        assert by[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [by[i][f"n_{k}"] for k in KINDS_IN_ORDER] == [sum(s[2] == k for s in base) for k in KINDS_IN_ORDER]
+        assert set(listed.split(",")) <= set(by[i].spans.split(","))
+
+
+def test_simhash(spark, sf_dir, docs):
+    assert sorted((tuple(r) for r in got(spark, sf_dir, "op9_simhash")), key=str) == near(docs)
+
+
+def test_toxicity(spark, sf_dir, docs):
+    rows = got(spark, sf_dir, "op10_toxicity")
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)

@@ -82,6 +82,9 @@ def test_decontamination_empty(spark, make, odd_rows):
     assert len(got) == len(odd_rows) and not any(r[5] for r in got)
 
 
+KINDS_IN_ORDER = ("email", "ip", "card", "phone")
+
+
 def brute_pii(text):
     kinds = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
