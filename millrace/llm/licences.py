@@ -130,7 +130,8 @@ CONFUSERS = [
 ]
 # Words that carry no sense of a licence by themselves.
 STOP = frozenset(
-    "a all and any are as at be by can for from have here him his how in into is it its law may met most no not of on or "
+    "a above all along an and any are as at be by can except for from has have here him his how if in into is it its law "
+    "long may met most must new no not of on one only or shall should under without "
     "other part person see she that the their this to v was we were which will with work you your 0 1 2 3 4 way".split()
 )
 
