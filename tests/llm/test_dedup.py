@@ -110,6 +110,28 @@ def test_simhash_whitespace_and_nul():
         assert fingerprint(t) == slow_fingerprint(t)
 
 
+def test_simhash_of_one_text_repeated(make):
+    draw = random.Random(14)
+    rows = [(i, "one text that nearly all rows have in common") for i in range(900)]
+    rows += [(1000 + i, " ".join(f"w{draw.randrange(900)}" for _ in range(60))) for i in range(60)] + [(None, "w1 w2")] * 40
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in near_groups(make(rows)).collect()), key=str)
+    assert got == near(rows)
+
+
+@pytest.mark.parametrize(("block", "row"), [(64, 2), (16, 3)])
+def test_simhash_in_many_blocks(make, monkeypatch, block, row):
+    import millrace.llm.simhash as simhash
+
+    monkeypatch.setattr(simhash, "BLOCK_LEAST", block)
+    monkeypatch.setattr(simhash, "ROW_OF_TILES", row)
+    draw = random.Random(15)
+    base = [[f"w{draw.randrange(300)}" for _ in range(90)] for _ in range(130)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    rows += [(1000 + i, " ".join([*w[:45], "z", *w[46:]])) for i, w in enumerate(base)]
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in near_groups(make(rows)).collect()), key=str)
+    assert got == near(rows)
+
+
 def test_simhash_empty(make):
     assert near_groups(make([])).collect() == []
 

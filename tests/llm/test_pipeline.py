@@ -109,3 +109,32 @@ def test_stages_judge_rows_that_share_an_id(spark, corpus, make):
     assert sorted((str(r.doc_id), r.text.strip()) for r in got) == sorted(
         zip(("None", "None", "7", "7", "9", "11"), prose, strict=True)
     )
+
+
+def test_stages_keep_whole_rows_whatever_repeats(spark, corpus):
+    """Rows that share an id, a text, or all but another column; the verdict is each row's own."""
+    top, _, items = corpus
+    draw = random.Random(13)
+    a, b, c = (" ".join(f"u{draw.randrange(5000)}" for _ in range(80)) for _ in range(3))
+    schema = "doc_id bigint, text string, lang string, tags map<string,string>, row_ string, rid_ string"
+
+    def make_rows(rows):
+        return spark.createDataFrame([(i, t, lang, {"k": lang}, "x", None) for i, t, lang in rows], schema).repartition(3)
+
+    # (5, a) is alone; (5, b) is a near copy of (3, b), which stays.
+    got = corpus_pipeline.near_stage(spark, make_rows([(5, a, "de"), (5, b, "fr"), (3, b + " ", "en")]), top)
+    assert got.columns == ["doc_id", "text", "lang", "tags", "row_", "rid_"]
+    assert sorted((r.doc_id, r.text, r.tags["k"]) for r in got.collect()) == sorted([(5, a, "de"), (3, b + " ", "en")])
+    # Two near copies that share an id: one stays, the same in every layout.
+    found = set()
+    for parts in (1, 2, 5):
+        df = make_rows([(7, c, "de"), (7, c + " ", "fr"), (7, c, "en")]).repartition(parts)
+        found.add(tuple((r.text, r.lang) for r in corpus_pipeline.near_stage(spark, df, top).collect()))
+        exact = corpus_pipeline.exact_stage(spark, df, top).collect()
+        assert sorted(r.text for r in exact) == sorted([c, c + " "])
+        found.add(tuple(sorted((r.text, r.lang) for r in exact)))
+    assert len(found) == 2
+    bad = items[0][1]
+    rows = [(None, bad, "de"), (None, a, "de"), (8, bad, "fr"), (8, a, "fr"), (8, a, "fr")]
+    got = corpus_pipeline.decontamination_stage(spark, make_rows(rows), top).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", a), ("8", a), ("8", a)])

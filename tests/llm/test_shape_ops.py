@@ -44,6 +44,47 @@ def test_sharding_small_and_repeated(make):
         assert sorted((r.slot, r.shard) for r in got) == sorted((p // 4, p % 4) for p in range(n))
 
 
+def test_sharding_of_a_row_repeated_beyond_a_run(make, monkeypatch):
+    import millrace.llm.sharding as sharding
+
+    monkeypatch.setattr(sharding, "RUN", 50)
+    rows = [(7, "same")] * 1800 + [(None, None)] * 101 + [(i, f"t{i}") for i in range(99)]
+    got = shard(make(rows), buckets=64)
+    assert got.select("row_number").distinct().count() == len(rows)
+    slots = defaultdict(list)
+    for r in got.collect():
+        place = position(r.row_number, len(rows), 20240)
+        assert (r.shard, r.slot) == (place % 24, place // 24)
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_cycles_are_walked_to_their_end(make, monkeypatch):
+    import millrace.llm.sharding as sharding
+
+    monkeypatch.setattr(sharding, "WALK", 1)
+    rows = [(i, f"t{i}") for i in range(43)]  # a grid of 49 cells
+    got = shard(make(rows), shards=5).collect()
+    assert sorted((r.slot, r.shard) for r in got) == sorted((p // 5, p % 5) for p in range(43))
+
+
+def test_packing_of_one_row_repeated(make):
+    rows = [(3, "the same row of text")] * 900 + [(i, "tok " * (i % 50)) for i in range(100)]
+    got = pack(make(rows), capacity=64).collect()
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 1000
+    for taken in places.values():
+        at = 0
+        for offset, length in sorted(taken):
+            assert offset == at
+            at += length
+        assert at <= 64
+    # Ten of the repeated rows, of six tokens, fill 60 of 64.
+    assert len(places) <= -(-sum(r.length for r in got) // 60) + 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 24, 97, 1000])
 def test_permutation(n):
     assert sorted(position(i, n, 5) for i in range(n)) == list(range(n))
