@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +63,7 @@ def read_with_filename(
 
 def immediate(spark: SparkSession, filename: str) -> DataFrame:
     """The lines of a small local file, read while the plan is built; ``\\r\\n`` ends a line too."""
-    with open(filename.removeprefix("file://"), encoding="utf-8", newline="") as f:
+    with open(re.sub("^file:/+", "/", filename), encoding="utf-8", newline="") as f:
         data = f.read()
     lines = data.split("\n")
     if lines[-1] == "":
